@@ -94,10 +94,10 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK):
 class Words:
     """Word boundaries of some rows: first byte, end byte, and for row i the words rows[i]:rows[i+1]."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE):
         self.raw, self.offsets = raw, offsets
         n = len(raw)
-        inside = ~_SPACE[raw]
+        inside = ~between[raw]
         before = np.empty(n, bool)
         after = np.empty(n, bool)
         if n:
@@ -134,9 +134,9 @@ def sums_by_row(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total[rows[1:]] - total[rows[:-1]]
 
 
-def word_blocks(column: pa.Array, limit: int = BLOCK):
-    """(first row, end row, Words) over a column, block by block."""
+def word_blocks(column: pa.Array, limit: int = BLOCK, between: np.ndarray = _SPACE):
+    """(first row, end row, Words) over a column, block by block; between marks the bytes outside words."""
     raw, offsets = buffers(column)
     for lo, hi in blocks(offsets, limit):
         a, b = offsets[lo], offsets[hi]
-        yield lo, hi, Words(raw[a:b], offsets[lo : hi + 1] - a)
+        yield lo, hi, Words(raw[a:b], offsets[lo : hi + 1] - a, between)

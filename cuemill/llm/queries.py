@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, pii, quality, rules
+from . import decontaminate, html, jaccard, mixing, pii, quality, rules, secrets, substring, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,9 +33,30 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_read(spark, sf_dir, "documents")).drop("text_hash", "found")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_ngram_jaccard_join, op4_quality_rules, op5_pii)}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeated(_read(spark, sf_dir, "documents"), width=50).drop("kept")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_read(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_read(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(_read(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_mix_sources, op3_ngram_jaccard_join, op4_quality_rules, op5_pii, op6_substring_dedup, op7_decontaminate, op8_secret_scan, op9_token_counts, op10_html_extraction)}
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.ORACLE_SQL.format(documents="documents"),
     "op4_quality_rules": rules.ORACLE_SQL,
+    "op6_substring_dedup": substring.ORACLE_SQL,
 }
