@@ -33,6 +33,7 @@ NONE = 65535
 #: LEAST_TERMS (or than the poorest item has) cannot come near any item.
 COMMON = 300
 LEAST_TERMS = 3
+RAREST = 30_000
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -199,6 +200,16 @@ def _summed(df: DataFrame, dtype, fan: int = 16) -> np.ndarray:
     return total
 
 
+def weights(counts: np.ndarray, segments: int, block: Block) -> np.ndarray:
+    """Inverse-frequency weights: the root of segments per occurrence, up to RAREST, so that in the sums
+    over all segments no word's energy swamps that of rarer ones; 0 for common words."""
+    spread = (segments + 1) / (counts + 1)
+    weight = np.where(spread > COMMON, np.sqrt(np.minimum(spread, RAREST)), 0.0).astype(np.float32)
+    if any(not weight[w.astype(np.int64)].any() for w in block.words):  # an item of common words only
+        weight = np.sqrt(np.minimum(spread, RAREST)).astype(np.float32)
+    return weight
+
+
 def latent_space(sequences: DataFrame, weight: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
     """Right singular vectors (vocabulary by rank) of the segments' TF-IDF matrix, by one randomised pass (Nystroem)."""
     size = len(weight)
@@ -297,10 +308,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, commo
         numbered = staged(rows.mapInArrow(_number(block.vocabulary), "doc_id bigint, text_hash bigint, n int, seq binary"), "leak-sequences")
         counts = _summed(numbered.select("n", "seq").mapInArrow(_frequencies(size), "v binary"), np.int64)
         counts = counts if counts is not None else np.zeros(size + 1, np.int64)
-        rarity = np.log((counts[size] + 1) / (counts[:size] + 1))
-        weight = np.where(rarity > np.log(COMMON), rarity, 0.0).astype(np.float32)
-        if any(not weight[w.astype(np.int64)].any() for w in block.words):  # an item of common words only
-            weight = np.maximum(rarity, 1e-3).astype(np.float32)
+        weight = weights(counts[:size], counts[size], block)
         space = latent_space(numbered, weight, rank)
         found = numbered.mapInArrow(_search(block, weight, space, cosine, common, answer), "doc_id bigint, text_hash bigint, item_id bigint, cosine double, common double, answer double")
         found = staged(found, "leaks")
@@ -309,3 +317,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, commo
         return docs.sparkSession.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, cosine double, common double, answer double")
     best = W.partitionBy("doc_id", "text_hash", "item_id").orderBy(F.desc("common"), F.desc("answer"), F.desc("cosine"))
     return out.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """The rows of docs that hold no benchmark item, unchanged."""
+    bad = find_leaks(docs, benchmark, **settings).select(F.xxhash64("doc_id", "text_hash").alias("k")).distinct()
+    keyed = docs.withColumn("_row_key", F.xxhash64(docs["doc_id"].cast("bigint"), F.xxhash64(text_of(docs))))
+    return keyed.join(bad, F.col("_row_key") == F.col("k"), "left_anti").select(*docs.columns)

@@ -4,8 +4,9 @@ The global order of shingles is the order of their 64-bit hashes.  Two sets with
 of at least t differ in at most d elements, so when the order is cut into d + 1 fragments at least
 one fragment of theirs is equal; equal fragments yield the candidates.  d depends on the set size,
 hence sets are put into size levels (a set also joins the level below when a partner may be there).
-A fragment that is empty in a set says nothing; such a set is cut again by other orders, and in the
-end by a prefix filter, so no link is lost.  Within a candidate group the overlaps of two blocks of
+An empty fragment says nothing, so there are some fragments more, for as many empty ones; a set with
+still more empty ones is cut again by other orders, and in the end by a prefix filter, so no link is
+lost.  Within a candidate group the overlaps of two blocks of
 sets are counted fragment by fragment and summed per pair; only the number of links and a spanning
 forest leave the task, never the pairs.
 
@@ -27,6 +28,7 @@ GROWTH = 1.25
 LAYOUTS = 4
 LAYOUT_KEYS = mix(np.arange(1, LAYOUTS + 1, dtype=U))
 BLOCK_SETS = 256
+BUFFER = 4_000_000
 FRAGMENT_TOKENS = 4096
 
 
@@ -65,7 +67,13 @@ class Levels:
             starts.append(max(starts[-1] + 1, int(starts[-1] * max(GROWTH, 100 / percent + 0.05))))
         self.starts = np.array(starts)
         # sets a <= b with 100 i >= percent * u differ in at most (100 - percent) / percent * a elements
-        self.fragments = (self.starts[1:] - 1) * (100 - percent) // percent + 1
+        differ = (self.starts[1:] - 1) * (100 - percent) // percent
+        spare = np.zeros(len(differ), np.int64)
+        for _ in range(20):  # spare fragments: about the empty ones that a set of the least size has, and some
+            m = differ + 1 + spare
+            empty = m * np.exp(-self.starts[:-1] / m)
+            spare = np.ceil(empty + 2 * np.sqrt(empty)).astype(np.int64)
+        self.spare, self.fragments = spare, differ + 1 + spare
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, n, "right") - 1
@@ -74,8 +82,8 @@ class Levels:
         return self.of(np.maximum(-(-n * self.percent // 100), self.least))
 
 
-def _cut(h, row, wanted, level, fragments, layout):
-    """Signatures (row, hash) of the non-empty fragments of rows in wanted, and the rows that had empty ones."""
+def _cut(h, row, wanted, level, fragments, spare, layout):
+    """Signatures (row, hash) of the non-empty fragments of rows in wanted, and the rows with too many empty ones."""
     keep = wanted[row]
     h, row = h[keep], row[keep]
     if layout:
@@ -91,7 +99,7 @@ def _cut(h, row, wanted, level, fragments, layout):
     inside = np.add.reduceat(mix(h ^ U(0xE7037ED1A0B428DB)), at)
     owner = row[at]
     sig = mix(inside + part[at] * U(0x8EBC6AF09C88C6E3) + level[owner].astype(U) * U(0x589965CC75374CC3) + LAYOUT_KEYS[layout])
-    return owner, sig, wanted & (np.bincount(owner, minlength=len(wanted)) < fragments)
+    return owner, sig, wanted & (np.bincount(owner, minlength=len(wanted)) < fragments - spare)
 
 
 def _signatures(h, bounds, levels: Levels):
@@ -100,10 +108,11 @@ def _signatures(h, bounds, levels: Levels):
     owners, sigs = [], []
     own, low = levels.of(n), levels.partner(n)
     for level, wanted in ((own, n >= levels.least), (low, (n >= levels.least) & (low != own))):
-        fragments = levels.fragments[np.clip(level, 0, len(levels.fragments) - 1)]
+        at = np.clip(level, 0, len(levels.fragments) - 1)
+        fragments, spare = levels.fragments[at], levels.spare[at]
         for layout in range(LAYOUTS):
             if wanted.any():
-                owner, sig, wanted = _cut(h, row, wanted, level, fragments, layout)
+                owner, sig, wanted = _cut(h, row, wanted, level, fragments, spare, layout)
                 owners.append(owner)
                 sigs.append(sig)
         if wanted.any():  # the prefix filter: similar sets share one of their first elements
@@ -113,24 +122,90 @@ def _signatures(h, bounds, levels: Levels):
             owners.append(row[keep])
             sigs.append(mix(h[keep] + U(0x2545F4914F6CDD1D)))
     owner, sig = (np.concatenate(x) if x else np.zeros(0, U) for x in (owners, sigs))
-    by = np.argsort(owner.astype(np.int64), kind="stable")
-    return sig[by], np.concatenate(([0], np.cumsum(np.bincount(owner.astype(np.int64), minlength=len(n)))))
+    return owner.astype(np.int64), sig
 
 
-def _scan(width: int, percent: int):
+def _digests(h, bounds):
+    """Two 64-bit digests of each set."""
+    n = np.diff(bounds).astype(U)
+    one, two = (sums_by_row(mix(h ^ U(k)), bounds) for k in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
+    return mix(one + n).view(np.int64), two.view(np.int64)
+
+
+def _scan(width: int):
+    def run(batches):
+        for b in batches:
+            for lo, hi, h, bounds in shingle_sets(b.column(2), width):
+                one, two = _digests(h, bounds)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds), pa.int64()), pa.array(one), pa.array(two)], ["doc_id", "text_hash", "n", "c", "c2"])
+
+    return run
+
+
+def _fragments(width: int, percent: int, buckets: int):
+    """Batches to (bucket, pairs): pairs is a binary array of (fragment signature, class), each class once a batch."""
+
     def run(batches):
         levels = Levels(percent)
         for b in batches:
-            text = b.column(2)
-            for lo, hi, h, bounds in shingle_sets(text, width):
-                sig, at = _signatures(h, bounds, levels)
-                one, two = (sums_by_row(mix(h ^ U(k)), bounds) for k in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F))
-                n = np.diff(bounds)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(mix(one + n.astype(U)).view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sig.view(np.int64)))], ["doc_id", "text_hash", "n", "c", "c2", "sigs"])
+            seen: set[int] = set()
+            pairs = []
+            for _, _, h, bounds in shingle_sets(b.column(0), width):
+                c, _ = _digests(h, bounds)
+                owner, sig = _signatures(h, bounds, levels)
+                new = np.zeros(len(c), bool)
+                for i, k in enumerate(c.tolist()):
+                    if k not in seen:
+                        seen.add(k)
+                        new[i] = True
+                keep = new[owner]
+                pairs.append(np.stack([sig[keep], c[owner[keep]].view(U)], 1))
+            if not pairs:
+                continue
+            pair = np.concatenate(pairs)
+            bucket = ((pair[:, 0] >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+            pair = pair[np.argsort(bucket, kind="stable")]
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+            used = np.flatnonzero(np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([pair[bounds[k] : bounds[k + 1]].tobytes() for k in used], pa.binary())], ["bucket", "pairs"])
 
     return run
 
 
+def _ties(pair: np.ndarray):
+    """Each signature once, with its smallest class; and the edges from that class to the signature's others."""
+    sig, c = pair[:, 0], pair[:, 1].view(np.int64)
+    by = np.lexsort((c, sig))
+    sig, c = sig[by], c[by]
+    start = np.ones(len(sig), bool)
+    start[1:] = sig[1:] != sig[:-1]
+    low = c[np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))]
+    tied = c != low
+    edges = np.unique(np.stack([c[tied], low[tied]], 1), axis=0) if tied.any() else np.zeros((0, 2), np.int64)
+    return np.stack([sig[start], c[start].view(U)], 1), edges
+
+
+def _tie_all(batches):
+    """Rows sorted by bucket to edges; a full buffer is brought down to one pair a signature."""
+    now, held, size = None, [], 0
+
+    def settle():
+        pair, edges = _ties(np.concatenate(held))
+        return pair, pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, k])) for k in (0, 1)], ["u", "v"])
+
+    for b in batches:
+        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if held and (bucket != now or size > BUFFER):
+                pair, edges = settle()
+                yield edges
+                held, size = ([pair], 0) if bucket == now else ([], 0)
+            now = bucket
+            held.append(np.frombuffer(blob.as_buffer(), U).reshape(-1, 2))
+            size += len(held[-1])
+    if held:
+        yield settle()[1]
+
+
 def _sets(width: int):
     def run(batches):
         for b in batches:
@@ -212,34 +287,19 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Near-duplicate classes of whole texts by word shingles.
-
-    Words are lower-cased (A-Z) runs outside white space.  A document's set holds its distinct
-    ``width``-word shingles; with fewer words, the whole sequence; without words (or with null text)
-    it is empty and links with nothing.  Two documents link when
-    ``100 * |A and B| >= percent * |A or B|``.
-
-    Returns one row per input row: doc_id, n_shingles, component_id (smallest id reachable by links,
-    itself included) and n_links (number of other rows it links with).  Repeated rows are linked
-    copies.  A row with null id keeps its place; ids that are null never become component_id unless
-    the component has no other.  Other columns of docs are ignored, whatever their names.  An empty
-    table gives an empty table.  Shingles and sets are told apart by 64-bit hashes.
-    """
+def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of jaccard_classes with text_hash and root, which numbers the groups (null: no words)."""
     if not 50 <= percent < 100:
         raise ValueError("percent must be from 50 to 99")
     text = text_of(docs, text_col)
     base = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    scanned = staged(base.mapInArrow(_scan(width, percent), "doc_id bigint, text_hash bigint, n bigint, c bigint, c2 bigint, sigs array<bigint>"), "jaccard-scan")
+    scanned = staged(base.mapInArrow(_scan(width), "doc_id bigint, text_hash bigint, n bigint, c bigint, c2 bigint"), "jaccard-scan")
     least = Levels(percent).least
-    classes = staged(
-        scanned.where(F.col("n") >= least).groupBy("c", "c2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep"), F.count("*").alias("w"), F.first("sigs").alias("sigs")),
-        "jaccard-classes",
-    )
+    classes = scanned.where(F.col("n") >= least).groupBy("c", "c2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep"), F.count("*").alias("w"))
     # candidates: a fragment found in several classes ties them to the smallest of them
-    rows = classes.select("c", F.explode("sigs").alias("sig"))
-    live = rows.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("sig", "low")
-    star = rows.join(live, "sig").where("c <> low").select(F.col("c").alias("u"), F.col("low").alias("v")).distinct()
+    buckets = 4 * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blobs = base.select("text").mapInArrow(_fragments(width, percent, buckets), "bucket int, pairs binary")
+    star = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tie_all, "u bigint, v bigint")
     groups = components(star, "jaccard-candidates").select(F.col("node").alias("c"), F.col("root").alias("comp"))
     sized = groups.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("nb"))
     wanted = groups.join(sized, "comp").join(classes.select("c", "w", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash")), "c")
@@ -256,6 +316,35 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     own = scanned.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("low"), F.count("*").alias("w"))
     near = own.join(roots, own.c == roots.node, "left").join(links, own.c == links.u, "left").select("c", "low", "w", F.coalesce("root", "c").alias("root"), F.coalesce("more", F.lit(0)).alias("more"))
     least_id = near.groupBy("root").agg(F.min("low").alias("component"))
-    by_class = near.join(least_id, "root").select(F.col("c").alias("k"), "component", (F.col("w") - 1 + F.col("more")).alias("links"))
-    out = scanned.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(by_class, F.col("c") == F.col("k"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
+    by_class = near.join(least_id, "root").select(F.col("c").alias("k"), "root", "component", (F.col("w") - 1 + F.col("more")).alias("links"))
+    out = scanned.select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(by_class, F.col("c") == F.col("k"), "left")
+    return out.select("doc_id", "text_hash", "root", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"))
+
+
+def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Near-duplicate classes of whole texts by word shingles.
+
+    Words are lower-cased (A-Z) runs outside white space.  A document's set holds its distinct
+    ``width``-word shingles; with fewer words, the whole sequence; without words (or with null text)
+    it is empty and links with nothing.  Two documents link when
+    ``100 * |A and B| >= percent * |A or B|``.
+
+    Returns one row per input row: doc_id, n_shingles, component_id (smallest id reachable by links,
+    itself included) and n_links (number of other rows it links with).  Repeated rows are linked
+    copies.  A row with null id keeps its place; ids that are null never become component_id unless
+    the component has no other.  Other columns of docs are ignored, whatever their names.  An empty
+    table gives an empty table.  Shingles and sets are told apart by 64-bit hashes.
+    """
+    return _classes(docs, width, percent, id_col, text_col).drop("text_hash", "root")
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs without near duplicates: of each group the row with the smallest doc_id stays (ties: smallest text hash).
+
+    Rows without words stay.  Repeated rows of one id and text count as one; a null id comes last."""
+    found = _classes(docs, width, percent, "doc_id", "text")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best")
+    kept = found.where("root is not null").groupBy("root").agg(best).select("best.doc_id", "best.text_hash")
+    kept = kept.unionAll(found.where("root is null").select("doc_id", "text_hash")).select(F.xxhash64("doc_id", "text_hash").alias("k")).distinct()
+    keyed = docs.withColumn("_row_key", F.xxhash64(docs["doc_id"].cast("bigint"), F.xxhash64(text_of(docs))))
+    return keyed.join(kept, F.col("_row_key") == F.col("k"), "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)

@@ -103,6 +103,27 @@ def _scorer(model: QuadraticDiscriminant):
     return run
 
 
+def _filter(model: QuadraticDiscriminant, threshold: float, column: str):
+    def run(batches):
+        for b in batches:
+            keep = np.concatenate([model.scores(features(w)) >= threshold for _, _, w in word_blocks(b.column(b.schema.get_field_index(column)))]) if b.num_rows else np.zeros(0, bool)
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores at least threshold, unchanged; nothing but sums is shuffled."""
+    x = staged(document_features(docs), "quality-features")
+    model = fit(_training(x, labels, label_col))
+    return docs.mapInArrow(_filter(model, threshold, "text"), docs.schema)
+
+
+def _training(x: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
+    known = labels.select(labels["doc_id"].cast("bigint").alias("l_id"), labels[label_col].cast("int").alias("y")).where("y is not null and l_id is not null")
+    return x.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("l_id")).select("x", "y")
+
+
 def held_out(doc_id):
     """True for rows labels are never learnt from: crc32 of the id as text (null: empty) is a multiple of 5."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -118,7 +139,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     ignored, whatever their names.
     """
     x = staged(document_features(docs), "quality-features")
-    known = labels.select(labels["doc_id"].cast("bigint").alias("l_id"), labels[label_col].cast("int").alias("y")).where("y is not null and l_id is not null")
-    train = x.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("l_id")).select("x", "y")
-    scored = x.mapInArrow(_scorer(fit(train, shrinkage)), "doc_id bigint, score double")
+    scored = x.mapInArrow(_scorer(fit(_training(x, labels, label_col), shrinkage)), "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
