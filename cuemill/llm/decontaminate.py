@@ -9,7 +9,7 @@ and passages whose cosine in the latent space reaches a threshold are candidates
 is confirmed by the longest common subsequence of the item's words with the passage and its surroundings,
 and by the same test on the item's answer, its last sentence.
 
-Words are lower-cased (A-Z) runs of ASCII letters and digits and of non-ASCII characters.
+Words are lower-cased runs of ASCII letters and digits and of non-ASCII characters.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def _answer(text: str) -> str:
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str):
     """The benchmark row by row from the executors, grouped into blocks of bounded size."""
     rows, size = [], 0
-    for r in benchmark.select(F.col(id_col).cast("bigint"), F.col(text_col)).where(f"{id_col} is not null").toLocalIterator():
+    for r in benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.lower(text_col).alias("t")).where("i is not null").toLocalIterator():
         n = len((r[1] or "").split())
         if rows and (len(rows) >= BLOCK_ITEMS or size + n > BLOCK_WORDS):
             yield Block(rows)
@@ -299,7 +299,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, commo
     an empty table; other columns are ignored, whatever their names.
     """
     text = text_of(docs, text_col)
-    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.lower(text).alias("text"))
     out = None
     for block in item_blocks(benchmark, item_col, item_text_col):
         if not block.items:
@@ -321,6 +321,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, commo
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of docs that hold no benchmark item, unchanged."""
-    bad = find_leaks(docs, benchmark, **settings).select(F.xxhash64("doc_id", "text_hash").alias("k")).distinct()
+    bad = find_leaks(docs, benchmark, **settings).select(F.xxhash64("doc_id", "text_hash").alias("_leak_key")).distinct()
     keyed = docs.withColumn("_row_key", F.xxhash64(docs["doc_id"].cast("bigint"), F.xxhash64(text_of(docs))))
-    return keyed.join(bad, F.col("_row_key") == F.col("k"), "left_anti").select(*docs.columns)
+    return keyed.join(bad, F.col("_row_key") == F.col("_leak_key"), "left_anti").select(*docs.columns)

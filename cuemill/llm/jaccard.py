@@ -345,6 +345,6 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     found = _classes(docs, width, percent, "doc_id", "text")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best")
     kept = found.where("root is not null").groupBy("root").agg(best).select("best.doc_id", "best.text_hash")
-    kept = kept.unionAll(found.where("root is null").select("doc_id", "text_hash")).select(F.xxhash64("doc_id", "text_hash").alias("k")).distinct()
+    kept = kept.unionAll(found.where("root is null").select("doc_id", "text_hash")).select(F.xxhash64("doc_id", "text_hash").alias("_kept_key")).distinct()
     keyed = docs.withColumn("_row_key", F.xxhash64(docs["doc_id"].cast("bigint"), F.xxhash64(text_of(docs))))
-    return keyed.join(kept, F.col("_row_key") == F.col("k"), "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
+    return keyed.join(kept, F.col("_row_key") == F.col("_kept_key"), "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)

@@ -146,8 +146,8 @@ def mask_pii(docs: DataFrame, **settings) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets and n_chars set anew; null text stays null.
 
     Spans that overlap are replaced together, by the kind of the first.  Columns and row count stay."""
-    spans = find_pii(docs, **settings).select(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash"), "found").where(F.size("found") > 0).dropDuplicates(["p_id", "p_hash"])
-    joined = docs.join(spans, docs.doc_id.cast("bigint").eqNullSafe(spans.p_id) & (F.xxhash64(text_of(docs)) == spans.p_hash), "left")
+    spans = find_pii(docs, **settings).select(F.col("doc_id").alias("_pii_id"), F.col("text_hash").alias("_pii_hash"), F.col("found").alias("_pii_found")).where(F.size("_pii_found") > 0).dropDuplicates(["_pii_id", "_pii_hash"])
+    joined = docs.join(spans, docs.doc_id.cast("bigint").eqNullSafe(spans["_pii_id"]) & (F.xxhash64(text_of(docs)) == spans["_pii_hash"]), "left")
     text = F.col("text")
     label = lambda k: F.element_at(F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS]), k + 1)
 
@@ -157,8 +157,8 @@ def mask_pii(docs: DataFrame, **settings) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["e"]).cast("int").alias("at"), F.when(fresh, F.concat(acc["out"], gap, label(x["k"]))).otherwise(acc["out"]).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(F.col("found"), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.col("found").isNotNull(), masked).otherwise(text)
-    out = joined.withColumn("masked", new)
-    cols = [F.col("masked").alias("text") if c == "text" else F.when(F.col("found").isNotNull(), F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(docs[c]).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    masked = F.aggregate(F.col("_pii_found"), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    new = F.when(F.col("_pii_found").isNotNull(), masked).otherwise(text)
+    out = joined.withColumn("_pii_masked", new)
+    cols = [F.col("_pii_masked").alias("text") if c == "text" else F.when(F.col("_pii_found").isNotNull(), F.length("_pii_masked").cast(docs.schema["n_chars"].dataType)).otherwise(docs[c]).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     return out.select(*cols)
