@@ -6,7 +6,8 @@ one fragment of theirs is equal; equal fragments yield the candidates.  d depend
 hence sets are put into size levels (a set also joins the level below when a partner may be there).
 An empty fragment says nothing, so there are some fragments more, for as many empty ones; a set with
 still more empty ones is cut again by other orders, and in the end by a prefix filter, so no link is
-lost.  Within a candidate group the overlaps of two blocks of
+lost.  Groups of candidates are kept apart by level, so their sets are of
+about one size.  Within a candidate group the overlaps of two blocks of
 sets are counted fragment by fragment and summed per pair; only the number of links and a spanning
 forest leave the task, never the pairs.
 
@@ -27,7 +28,9 @@ U = np.uint64
 GROWTH = 1.25
 LAYOUTS = 4
 LAYOUT_KEYS = mix(np.arange(1, LAYOUTS + 1, dtype=U))
-BLOCK_SETS = 256
+BLOCK_SETS = 1024
+BLOCK_SHINGLES = 1_000_000
+LEVEL_BITS = 128
 BUFFER = 4_000_000
 FRAGMENT_TOKENS = 4096
 
@@ -105,7 +108,7 @@ def _cut(h, row, wanted, level, fragments, spare, layout):
 def _signatures(h, bounds, levels: Levels):
     n = np.diff(bounds)
     row = np.repeat(np.arange(len(n)), n)
-    owners, sigs = [], []
+    owners, sigs, at_level = [], [], []
     own, low = levels.of(n), levels.partner(n)
     for level, wanted in ((own, n >= levels.least), (low, (n >= levels.least) & (low != own))):
         at = np.clip(level, 0, len(levels.fragments) - 1)
@@ -115,14 +118,16 @@ def _signatures(h, bounds, levels: Levels):
                 owner, sig, wanted = _cut(h, row, wanted, level, fragments, spare, layout)
                 owners.append(owner)
                 sigs.append(sig)
+                at_level.append(level[owner])
         if wanted.any():  # the prefix filter: similar sets share one of their first elements
             prefix = n - -(-n * levels.percent // 100) + 1
             rank = np.arange(len(h)) - bounds[row]
             keep = wanted[row] & (rank < prefix[row])
             owners.append(row[keep])
             sigs.append(mix(h[keep] + U(0x2545F4914F6CDD1D)))
-    owner, sig = (np.concatenate(x) if x else np.zeros(0, U) for x in (owners, sigs))
-    return owner.astype(np.int64), sig
+            at_level.append(level[row[keep]])
+    owner, sig, level = (np.concatenate(x) if x else np.zeros(0, U) for x in (owners, sigs, at_level))
+    return owner.astype(np.int64), sig, level.astype(np.int64)
 
 
 def _digests(h, bounds):
@@ -143,16 +148,18 @@ def _scan(width: int):
 
 
 def _fragments(width: int, percent: int, buckets: int):
-    """Batches to (bucket, pairs): pairs is a binary array of (fragment signature, class), each class once a batch."""
+    """Batches to (bucket, pairs): pairs is a binary array of (fragment signature, class), each class once a batch.
+
+    A bucket is of one size level, which its number modulo LEVEL_BITS tells."""
 
     def run(batches):
         levels = Levels(percent)
         for b in batches:
             seen: set[int] = set()
-            pairs = []
+            pairs, at_level = [], []
             for _, _, h, bounds in shingle_sets(b.column(0), width):
                 c, _ = _digests(h, bounds)
-                owner, sig = _signatures(h, bounds, levels)
+                owner, sig, level = _signatures(h, bounds, levels)
                 new = np.zeros(len(c), bool)
                 for i, k in enumerate(c.tolist()):
                     if k not in seen:
@@ -160,12 +167,13 @@ def _fragments(width: int, percent: int, buckets: int):
                         new[i] = True
                 keep = new[owner]
                 pairs.append(np.stack([sig[keep], c[owner[keep]].view(U)], 1))
+                at_level.append(level[keep])
             if not pairs:
                 continue
             pair = np.concatenate(pairs)
-            bucket = ((pair[:, 0] >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+            bucket = ((pair[:, 0] >> U(32)) * U(buckets) >> U(32)).astype(np.int64) * LEVEL_BITS + np.concatenate(at_level)
             pair = pair[np.argsort(bucket, kind="stable")]
-            bounds = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets))))
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=buckets * LEVEL_BITS))))
             used = np.flatnonzero(np.diff(bounds))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([pair[bounds[k] : bounds[k + 1]].tobytes() for k in used], pa.binary())], ["bucket", "pairs"])
 
@@ -191,7 +199,8 @@ def _tie_all(batches):
 
     def settle():
         pair, edges = _ties(np.concatenate(held))
-        return pair, pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, k])) for k in (0, 1)], ["u", "v"])
+        level = np.full(len(edges), now % LEVEL_BITS, np.int32)
+        return pair, pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(edges[:, k])) for k in (0, 1)], pa.array(level)], ["u", "v", "level"])
 
     for b in batches:
         for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -210,8 +219,8 @@ def _sets(width: int):
     def run(batches):
         for b in batches:
             for lo, hi, h, bounds in shingle_sets(b.column(b.schema.get_field_index("text")), width):
-                cols = [b.column(b.schema.get_field_index(x)).slice(lo, hi - lo) for x in ("c", "w", "comp", "nb")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))], ["c", "w", "comp", "nb", "s"])
+                cols = [b.column(b.schema.get_field_index(x)).slice(lo, hi - lo) for x in ("c", "w", "comp", "level", "nb")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h.view(np.int64)))], ["c", "w", "comp", "level", "nb", "s"])
 
     return run
 
@@ -237,7 +246,9 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(percent: int):
-    def group(rows):
+    levels = Levels(percent)
+
+    def group(rows, level):
         """One pair of blocks of one candidate group: links of each class, and a spanning forest."""
         c = np.array([r[0] for r in rows], np.int64)
         w = np.array([r[1] for r in rows], np.int64)
@@ -246,11 +257,13 @@ def _verify(percent: int):
         got = overlaps([r[3] for r in rows])
         linked = 100 * got >= percent * (n[:, None] + n[None, :] - got)
         np.fill_diagonal(linked, False)
+        # a pair counts at the level of its smaller set, though both may meet at the level below too
+        linked &= levels.of(np.minimum(n[:, None], n[None, :])) == level
         if side.any():
             linked &= side[:, None] != side[None, :]
         label = np.arange(len(c))
         while True:
-            low = np.minimum(label, np.where(linked, label[None, :], len(c)).min(1, initial=len(c)))
+            low = np.minimum(label, np.where(linked, label[None, :].astype(np.int32), np.int32(len(c))).min(1, initial=len(c)))
             low = low[low]
             if (low == label).all():
                 break
@@ -262,7 +275,7 @@ def _verify(percent: int):
 
         def flush():
             if len(rows) > 1:
-                out.append(group(rows))
+                out.append(group(rows, key[1]))
 
         def pack():
             got = [np.concatenate(x) for x in zip(*out, strict=True)]
@@ -270,10 +283,10 @@ def _verify(percent: int):
             return pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["u", "v", "links"])
 
         for b in batches:
-            comp, i, j, c, w, side = (b.column(k).to_pylist() for k in range(6))
-            values, at = b.column(6).values.to_numpy(), b.column(6).offsets.to_numpy()
+            comp, level, i, j, c, w, side = (b.column(k).to_pylist() for k in range(7))
+            values, at = b.column(7).values.to_numpy(), b.column(7).offsets.to_numpy()
             for k in range(b.num_rows):
-                now = (comp[k], i[k], j[k])
+                now = (comp[k], level[k], i[k], j[k])
                 if now != key:
                     flush()
                     key, rows = now, []
@@ -295,21 +308,24 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     base = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     scanned = staged(base.mapInArrow(_scan(width), "doc_id bigint, text_hash bigint, n bigint, c bigint, c2 bigint"), "jaccard-scan")
     least = Levels(percent).least
-    classes = scanned.where(F.col("n") >= least).groupBy("c", "c2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep"), F.count("*").alias("w"))
-    # candidates: a fragment found in several classes ties them to the smallest of them
-    buckets = 4 * max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    classes = scanned.where(F.col("n") >= least).groupBy("c", "c2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep"), F.count("*").alias("w"), F.first("n").alias("n"))
+    # candidates: a fragment found in several classes ties them to the smallest of them, at one size level
+    buckets = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
     blobs = base.select("text").mapInArrow(_fragments(width, percent, buckets), "bucket int, pairs binary")
-    star = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tie_all, "u bigint, v bigint")
-    groups = components(star, "jaccard-candidates").select(F.col("node").alias("c"), F.col("root").alias("comp"))
-    sized = groups.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("nb"))
-    wanted = groups.join(sized, "comp").join(classes.select("c", "w", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash")), "c")
-    texts = base.join(wanted, base.doc_id.eqNullSafe(wanted.r_id) & (base.text_hash == wanted.r_hash)).select("c", "w", "comp", "nb", "text")
-    one = texts.mapInArrow(_sets(width), "c bigint, w bigint, comp bigint, nb int, s array<bigint>")
+    tied = staged(blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tie_all, "u bigint, v bigint, level int").distinct(), "jaccard-ties")
+    node = lambda c: F.xxhash64(c, "level")
+    ends = tied.select(F.col("u").alias("c"), "level").unionAll(tied.select(F.col("v").alias("c"), "level")).distinct().withColumn("id", node("c"))
+    found = components(tied.select(node("u").alias("u"), node("v").alias("v")), "jaccard-candidates").withColumnRenamed("root", "comp")
+    groups = ends.join(found, F.col("id") == F.col("node")).select("c", "level", "comp").join(classes, "c")
+    sized = groups.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    wanted = groups.join(sized, "comp").select("c", "w", "comp", "level", "nb", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash"))
+    texts = base.join(wanted, base.doc_id.eqNullSafe(wanted.r_id) & (base.text_hash == wanted.r_hash)).select("c", "w", "comp", "level", "nb", "text")
+    one = texts.mapInArrow(_sets(width), "c bigint, w bigint, comp bigint, level int, nb int, s array<bigint>")
     # side: 0 in a block paired with itself, else 1 or 2 by which of the two blocks holds the row
     block = F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")
     placed = one.withColumn("b", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    pairs = placed.select("comp", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "c", "w", F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"), "s")
-    keys = ["comp", "i", "j"]
+    pairs = placed.select("comp", "level", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "c", "w", F.when(F.col("b") == F.col("o"), 0).when(F.col("b") < F.col("o"), 1).otherwise(2).alias("side"), "s")
+    keys = ["comp", "level", "i", "j"]
     checked = staged(pairs.repartition(*keys).sortWithinPartitions(*keys, "c").mapInArrow(_verify(percent), "u bigint, v bigint, links bigint"), "jaccard-links")
     roots = components(checked.select("u", "v"), "jaccard-components")
     links = checked.groupBy("u").agg(F.sum("links").alias("more"))

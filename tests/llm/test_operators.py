@@ -99,7 +99,7 @@ def test_signatures_lose_no_pair():
                 if not len(b) or 100 * common < percent * (n + len(b) - common) or set(a.tolist()) == set(b.tolist()):
                     continue
                 h = np.concatenate([np.sort(a), np.sort(b)])
-                owner, sig = jaccard._signatures(h, np.array([0, n, n + len(b)]), levels)
+                owner, sig, _ = jaccard._signatures(h, np.array([0, n, n + len(b)]), levels)
                 assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
 
 
