@@ -159,7 +159,7 @@ def test_store(spark, tmp_path):
 
 def test_records(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0, 1, "a"), (1, 0, 2, "b"), (1, 2, 3, "c")], "media_id bigint, index bigint, written bigint, text string")
-    assert [(r.index, r.text) for r in contiguous_prefix(rows).collect()] == [(0, "b")]
+    assert [(r["index"], r.text) for r in contiguous_prefix(rows).collect()] == [(0, "b")]
     path = tmp_path / "frames"
     path.mkdir()
     (path / "a.json").write_text('{"media_id":1,"index":0,"text":"x"}\nnot json\n{"media_id":1,"index":0,"text":"y"}\n{"media_id":1,"index":1,"text":"z"}\n')
