@@ -111,12 +111,12 @@ def track_island(rows: list[tuple], below: float = 0.2) -> list[tuple]:
 def track(items: DataFrame, below: float = 0.2) -> DataFrame:
     """Track positioned texts (media_id, frame, text, x, y) over frames.
 
-    Frames fall into islands of consecutive frames with items, tracked independently; results are
-    numbered by (first_frame, end_frame) and creation."""
+    Frames fall into islands of consecutive frames with items, tracked independently; items of a frame
+    at one position go by text; results are numbered by (first_frame, end_frame) and creation."""
     frames = items.select("media_id", "frame").distinct()
     w = W.partitionBy("media_id").orderBy("frame")
     frames = frames.withColumn("island", F.sum(F.coalesce((F.lag("frame").over(w) != F.col("frame") - 1).cast("int"), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
     rows = items.join(frames, ["media_id", "frame"]).select("media_id", "island", "frame", "text", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    tracks = stream_groups(rows, ["media_id", "island"], ["frame"], lambda got: track_island(got, below), TRACK_SCHEMA)
+    tracks = stream_groups(rows, ["media_id", "island"], ["frame", "text"], lambda got: track_island(got, below), TRACK_SCHEMA)
     number = F.row_number().over(W.partitionBy("media_id").orderBy("first_frame", "end_frame", "born")).cast("bigint")
     return tracks.withColumn("track", number).drop("born")

@@ -262,8 +262,8 @@ def lane_assign(spark, sf_dir):
 
 @query()
 def track_objects(spark, sf_dir):
-    b = boxes(spark, sf_dir).groupBy("media_id", "frame").agg(F.min_by(F.struct("x", "y", "l_partkey"), F.struct("l_partkey", "l_suppkey", "x", "y")).alias("b"))
-    return frames.track(b.select("media_id", "frame", F.substring(F.col("b.l_partkey").cast("string"), 1, 1).alias("text"), F.round(F.col("b.x") / 10, 2).alias("x"), F.round(F.col("b.y") / 10, 2).alias("y")))
+    b = boxes(spark, sf_dir).select("media_id", "frame", F.col("l_partkey").cast("string").alias("text"), F.round(F.col("x") / 10, 2).alias("x"), F.round(F.col("y") / 10, 2).alias("y"))
+    return frames.track(b)
 
 
 @query(f"""
