@@ -33,24 +33,29 @@ CONTAINERS = frozenset("html body main article section div td center".split())
 LANDMARKS = frozenset(("article", "main"))
 DROPPED = frozenset("head script style noscript template svg math iframe object nav footer aside form button select option textarea dialog menu".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert form menu menubar".split())
-ROLE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notice|alert|popup|modal|comments?|disqus|respond|replies|share|sharing|social|related|newsletter|subscribe|footer|copyright|masthead|site-header|header|widget|skip-link|pagination|pager)(?:$|[\s_-])", re.I)
+_ROLE = r"ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notice|alert|popup|modal|comments?|disqus|respond|replies|share|sharing|social|related|newsletter|subscribe|footer|copyright|masthead|site-header|header|widget|skip-link|pagination|pager"
+# A whole class token: a role word, or one with a listed word before or after it ("no-sidebar" is neither).
+ROLE_WORDS = re.compile(rf"(?:^|\s)(?:(?:site|main|global|primary|secondary|top|bottom|cookie|ad|social|google)[_-])?(?:{_ROLE})(?:[_-](?:area|banner|bar|block|bottom|box|buttons?|container|default|form|icons|inner|items?|links?|list|main|menu|notice|popup|posts?|primary|secondary|section|signup|slot|top|unit|widgets?|wrap|wrapper))?(?=$|\s)", re.I)
 CLOSES_P = BLOCKS - {"body", "html"}
 
 
 class Node:
-    __slots__ = ("tag", "label", "dropped", "kids")
+    __slots__ = ("tag", "label", "dropped", "kids", "by_class")
 
-    def __init__(self, tag: str, label: str, dropped: bool):
-        self.tag, self.label, self.dropped, self.kids = tag, label, dropped, []
+    def __init__(self, tag: str, label: str, dropped: bool, by_class: bool = False):
+        self.tag, self.label, self.dropped, self.kids, self.by_class = tag, label, dropped or by_class, [], by_class
 
 
-def _dropped(tag: str, attrs: dict[str, str], inside: list[Node]) -> bool:
-    if tag in DROPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
-        return True
+def _dropped(tag: str, attrs: dict[str, str]) -> bool:
+    return tag in DROPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES
+
+
+def _dropped_by_class(tag: str, attrs: dict[str, str], inside: list[Node]) -> bool:
+    """Headers and elements named for a role; one that turns out to hold an article or main element stays."""
     if tag in LANDMARKS or tag in ("html", "body"):
         return False
-    if tag == "header" and not any(n.tag == "article" for n in inside):
-        return True
+    if tag == "header":
+        return not any(n.tag == "article" for n in inside)
     return bool(ROLE_WORDS.search(attrs.get("class", "")) or ROLE_WORDS.search(attrs.get("id", "")))
 
 
@@ -81,7 +86,12 @@ class _Builder(HTMLParser):
             self._close({"td", "th"}, {"tr", "table"})
         elif tag == "tr":
             self._close({"tr"}, {"table"})
-        node = Node(tag, f"{tag}.{attrs['class']}" if attrs.get("class") else tag, _dropped(tag, attrs, self.open))
+        dropped = _dropped(tag, attrs)
+        node = Node(tag, f"{tag}.{attrs['class']}" if attrs.get("class") else tag, dropped, not dropped and _dropped_by_class(tag, attrs, self.open))
+        if tag in LANDMARKS:
+            for n in self.open:
+                if n.by_class:
+                    n.dropped = False
         self.open[-1].kids.append(node)
         if tag not in VOID:
             if len(self.open) < MAX_DEPTH:

@@ -1,0 +1,14 @@
+"""Whole jobs of corpus operators on small tables."""
+
+import random
+
+from cuemill.llm import decontaminate, html
+
+
+def test_role_words_are_whole_class_tokens():
+    article = "<article><header class='entry-header'><h1>Title</h1></header><p>Text</p></article>"
+    for c in ("content no-sidebar", "with-sidebar", "post no-comments", "sidebar", "related-posts"):
+        assert html.extract(f"<body><div class='{c}'>{article}</div><div class='ad'>Buy</div></body>", None) == "Title\nText"
+    assert html.extract("<body><div class='entry-header'><h1>Title</h1></div><p class='no-comments'>Text</p></body>", None) == "Title\nText"
+    for c in ("ad", "post sidebar", "cookie-notice", "comments-area", "top-nav x", "site-footer", "Share-Buttons", "ad_slot", "advertisement"):
+        assert html.extract(f"<body><div class='{c}'>No</div><div id='{c}'>No</div><p>Text</p></body>", None) == "Text"
