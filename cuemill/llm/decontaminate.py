@@ -5,7 +5,8 @@ a document is cut into segments of ``SEGMENT`` words, and its words are numbered
 (words outside it carry no weight in any product with an item).  Word frequencies, and a
 single-pass randomised SVD of the TF-IDF matrix of all segments, are sums over partitions of arrays
 whose size depends on the vocabulary and the rank only.  Two neighbouring segments are a passage.  Items
-and passages whose cosine in the latent space reaches a threshold are candidates; a candidate
+and passages whose cosine in the latent space reaches a threshold are candidates; an item much longer
+than a passage is also looked up by its parts of a passage's length, any of which makes a candidate.  A candidate
 is confirmed by the longest common subsequence of the item's words with the passage and its surroundings,
 and by the same test on the item's answer, its last sentence.
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from ._core import LOWER, staged, text_of, word_blocks
 
 SEGMENT = 16
+#: Items of more words are looked up by parts of two segments as well.
+LONG = 4 * SEGMENT
 RANK = 128
 BLOCK_ITEMS = 1000
 BLOCK_WORDS = 60_000
@@ -241,14 +244,30 @@ def common_length(item: np.ndarray, region: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
+def _parts(block: Block, weight: np.ndarray, least: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Numbers of the items and word sequences to look up: whole items, and the parts of long ones.
+
+    Parts with fewer than least weighted words say little and are left to the others, if an item has others."""
+    of, words = list(range(len(block.words))), list(block.words)
+    for k, w in enumerate(block.words):
+        if len(w) > LONG:
+            starts = [*range(0, len(w) - 2 * SEGMENT, 2 * SEGMENT), len(w) - 2 * SEGMENT]
+            parts = [w[a : a + 2 * SEGMENT] for a in starts]
+            rich = [p for p in parts if (weight[p.astype(np.int64)] > 0).sum() >= least]
+            words += rich or parts
+            of += [k] * len(rich or parts)
+    return np.array(of), words
+
+
 _HIT = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.float64())])
 
 
 def _search(block: Block, weight: np.ndarray, space: np.ndarray, cosine: float, common: float, answer: float):
     def run(batches):
         table = np.ascontiguousarray(space * weight[:, None])
-        queries = np.stack([table[w.astype(np.int64)].sum(0) for w in block.words])
         terms = min(LEAST_TERMS, min(int((weight[w.astype(np.int64)] > 0).sum()) for w in block.words))
+        of, parts = _parts(block, weight, terms)
+        queries = np.stack([table[w.astype(np.int64)].sum(0) for w in parts])
         length = np.linalg.norm(queries, axis=1, keepdims=True)
         queries = (queries / np.where(length > 0, length, 1)).T.astype(np.float32)
         for b in batches:
@@ -267,18 +286,25 @@ def _search(block: Block, weight: np.ndarray, space: np.ndarray, cosine: float,
                 pair = pair[live]
                 pair /= np.maximum(np.linalg.norm(pair, axis=1, keepdims=True), 1e-30)
                 got = pair @ queries
+                best: dict[tuple[int, int, int], tuple[float, int]] = {}
                 for p, q in zip(*np.nonzero(got >= cosine), strict=True):
-                    doc = s.doc[live[p]]
+                    doc, k = s.doc[live[p]], of[q]
                     at = (live[p] - s.first[doc]) * SEGMENT
+                    # of the passages of a long item that stand close together one is confirmed, over a wider region
+                    near = at // (len(block.words[k]) // 4) if len(block.words[k]) > LONG else at
+                    if (doc, k, near) not in best or best[doc, k, near][0] < got[p, q]:
+                        best[doc, k, near] = (float(got[p, q]), at)
+                for (doc, q, _), (score, at) in best.items():
                     item = block.words[q]
                     base, end = s.offsets[doc], s.offsets[doc + 1]
-                    region = s.all[base + max(0, at - len(item)) : min(end, base + at + 2 * SEGMENT + len(item))]
+                    around = len(item) + (len(item) // 4 if len(item) > LONG else 0)
+                    region = s.all[base + max(0, at - around) : min(end, base + at + 2 * SEGMENT + around)]
                     share = common_length(item, region) / len(item)
                     if share >= common:
                         last = block.answers[q]
                         told = common_length(last, region) / len(last) if len(last) else 1.0
                         if told >= answer:
-                            found.append((lo + int(doc), block.items[q], float(got[p, q]), share, told))
+                            found.append((lo + int(doc), block.items[q], score, share, told))
             if found:
                 row = [x[0] for x in found]
                 ids, keys = (b.column(b.schema.get_field_index(c)).take(pa.array(row)) for c in ("doc_id", "text_hash"))

@@ -12,3 +12,16 @@ def test_role_words_are_whole_class_tokens():
     assert html.extract("<body><div class='entry-header'><h1>Title</h1></div><p class='no-comments'>Text</p></body>", None) == "Title\nText"
     for c in ("ad", "post sidebar", "cookie-notice", "comments-area", "top-nav x", "site-footer", "Share-Buttons", "ad_slot", "advertisement"):
         assert html.extract(f"<body><div class='{c}'>No</div><div id='{c}'>No</div><p>Text</p></body>", None) == "Text"
+
+
+def test_long_items_are_found_by_any_part(spark):
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(20_000)]
+    text = lambda n: " ".join(words[int(len(words) ** r.random()) - 1] for _ in range(n))
+    items = [(k, text(n)) for k, n in enumerate((20, 40, 70, 300, 500, 800, 1200, 2500))]
+    rows = [(k, f"{text(r.randint(0, 90))} {t} {text(r.randint(0, 90))}") for k, t in items]
+    rows += [(100 + k, text(r.randint(100, 2000))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(g.doc_id, g.item_id) for g in got} == {(k, k) for k, _ in items}
+    assert all(g.common == 1 and g.answer == 1 for g in got)
