@@ -69,12 +69,20 @@ def phrases(words: DataFrame, limits: PhraseLimits = PhraseLimits(), key: str =
 
 
 def collapse_similar(rows: DataFrame, below: float = 0.2, key: str = "media_id", order: str = "seq", text: str = "text") -> DataFrame:
-    """rows with anchor_seq and anchor_text: a text whose edit distance to the last anchor is below the threshold takes it over."""
+    """rows with anchor_seq and anchor_text: a text whose edit distance to the last anchor is below the threshold takes it over.
+
+    Lengths that differ too much for that settle it without the distance."""
+    limit = F.lit(below).cast("float")
+
+    def far(a, b):
+        apart = (F.abs(F.length(a) - F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))).cast("float")
+        return F.when(apart >= limit, a != b).otherwise(~(edit_distance(a, b) < limit))
+
     got = _fold(
         rows.select(key, order, F.col(text).alias("text")), [key], order, ["text"],
         first=lambda x: F.struct(x["text"].alias("t")),
         step=lambda s, x: s,
-        cut=lambda s, x: ~(edit_distance(s["t"], x["text"]) < F.lit(below).cast("float")),
+        cut=lambda s, x: far(s["t"], x["text"]),
     )
     head = F.first(F.struct(order, "text")).over(W.partitionBy(key, "part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     return got.withColumn("_h", head).select(key, order, "text", F.col(f"_h.{order}").alias("anchor_seq"), F.col("_h.text").alias("anchor_text"))

@@ -139,6 +139,14 @@ def near_dup_collapse(spark, sf_dir):
     return segment.collapse_similar(rows, key="lang").select("lang", "seq", "anchor_seq", "anchor_text")
 
 
+@query()
+def near_dup_collapse_whole(spark, sf_dir):
+    """Over whole, unaltered texts; near_dup_collapse, like its SQL, sees their first 120 characters."""
+    order = F.row_number().over(W.partitionBy("lang").orderBy("text", "doc_id")).cast("bigint")
+    rows = _read(spark, sf_dir, "documents").select("lang", order.alias("seq"), "text")
+    return segment.collapse_similar(rows, key="lang").select("lang", "seq", "anchor_seq", "anchor_text")
+
+
 @query(rf"""
 WITH {LINES}, a AS (SELECT media_id, frame, regexp_replace(left(text, 200), '[^\x00-\x7F]', '?', 'g') AS text FROM lines),
 p AS (SELECT media_id, frame, text, lag(text) OVER (PARTITION BY media_id ORDER BY frame) AS before FROM a)

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from cuemill.operators import frames
 from cuemill.plans import catalog
 from test_functions import brute_tracks
 
@@ -24,3 +25,25 @@ def test_track_objects_takes_every_item_of_a_frame(spark, tmp_path):
         want = brute_tracks(sorted(items, key=lambda r: (r[0], r[1])))
         assert sorted((r.first_frame, r.end_frame, r.text, r.x, r.y) for r in got if r.media_id == m) == want
         assert any(b - a > 1 for a, b, *_ in want) and sum(b - a for a, b, *_ in want) == len(items)
+
+
+def ratio(a, b):
+    return frames._ratio(a, b)
+
+
+def test_near_dup_collapse_whole(spark, tmp_path):
+    rng = random.Random(3)
+    head = "".join(rng.choices("abcdeé ", k=150))
+    tails = ["".join(rng.choices("abcdeéß\n", k=n)) for n in (150, 150, 400, 0)]
+    texts = [head + t for t in tails] + [head + tails[0][:-5] + "xyzzy", head + tails[2][:-40], "", "", "ééééé", "éééßé", "ßßßßß", head[:100]]
+    rows = [(k, t, "ab"[k % 2]) for k, t in enumerate(texts * 2)]
+    sf = save(spark, tmp_path, "documents", rows, "doc_id bigint, text string, lang string")
+    want = set()
+    for lang in "ab":
+        anchor = None
+        for seq, (t, _) in enumerate(sorted(((t, k) for k, t, x in rows if x == lang), key=lambda r: (r[0].encode(), r[1])), 1):
+            if anchor is None or not ratio(anchor[1], t) < 0.2:
+                anchor = (seq, t)
+            want.add((lang, seq, *anchor))
+    assert {tuple(r) for r in catalog.near_dup_collapse_whole(spark, sf).collect()} == want
+    assert any(len(w[3]) > 300 and w[1] != w[2] for w in want)
