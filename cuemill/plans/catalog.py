@@ -159,6 +159,13 @@ def edit_distance_pairs(spark, sf_dir):
     return rows.select("media_id", "frame", T.edit_distance(F.col("before"), F.col("text")).cast("double").alias("distance"))
 
 
+@query()
+def edit_distance_pairs_whole(spark, sf_dir):
+    """Over whole, unaltered lines; edit_distance_pairs, like its SQL, sees their first 200 characters."""
+    rows = lines(spark, sf_dir).withColumn("before", F.lag("text").over(W.partitionBy("media_id").orderBy("frame"))).where("before is not null")
+    return rows.select("media_id", "frame", T.edit_distance(F.col("before"), F.col("text")).cast("double").alias("distance"))
+
+
 @query(f"""
 WITH {BOXES}, c AS (SELECT *, x + w / 2 AS cx, y + h / 2 AS cy FROM boxes)
 SELECT media_id, CAST(frame AS BIGINT) AS frame, l_partkey, x, y, w, h FROM c

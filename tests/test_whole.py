@@ -47,3 +47,13 @@ def test_near_dup_collapse_whole(spark, tmp_path):
             want.add((lang, seq, *anchor))
     assert {tuple(r) for r in catalog.near_dup_collapse_whole(spark, sf).collect()} == want
     assert any(len(w[3]) > 300 and w[1] != w[2] for w in want)
+
+
+def test_edit_distance_pairs_whole(spark, tmp_path):
+    head = "abcdé " * 40
+    texts = [[head + "same", head + "other", "é", "e", "", "", head], [head], ["ß" * 300, "é" * 300, "é" * 299 + "x"]]
+    sf = save(spark, tmp_path, "documents", [(k, "\n".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {(r.media_id, r.frame): r.distance for r in catalog.edit_distance_pairs_whole(spark, sf).collect()}
+    want = {(k, i): ratio(t[i - 1], t[i]) for k, t in enumerate(texts) for i in range(1, len(t))}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert 0 < got[0, 1] < 0.1 and got[2, 1] == 1
