@@ -48,6 +48,12 @@ def wrap_spaced(c: Column, limit: int) -> Column:
     fits = F.filter(places, lambda o: (o <= limit) & (n - o - 1 <= limit))
     pool = F.when(F.size(fits) > 0, fits).otherwise(places)
     at = F.array_min(F.transform(pool, lambda o: F.struct(F.abs(o - middle).alias("d"), o.alias("o"))))["o"]
+    # no break of a longer text leaves both sides within limit, so only the blanks next to its middle count
+    left = F.substring(c, F.lit(1), middle + 1)
+    before = F.length(left) - F.length(F.substring_index(left, " ", -1)) - 1
+    after = F.call_function("locate", F.lit(" "), c, middle + 1) - 1
+    nearest = F.when((before >= 0) & ((after < 0) | (middle - before <= after - middle)), before).when(after >= 0, after)
+    at = F.when(n > 2 * limit + 1, nearest).otherwise(at)
     hard = F.concat(F.substring(c, 1, limit), F.lit("\n"), F.substring(c, limit + 1, 1 << 30))
     soft = F.concat(F.substring(c, F.lit(1), at), F.lit("\n"), F.substring(c, at + 2, n))
     return F.when(at.isNull(), hard).otherwise(soft)

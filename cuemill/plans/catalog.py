@@ -366,6 +366,12 @@ def wrap_text(spark, sf_dir):
     return d.select("doc_id", T.wrap(F.col("t"), 36, " ").alias("spaced"), T.wrap(F.col("t"), 18, "").alias("cjk"))
 
 
+@query()
+def wrap_text_whole(spark, sf_dir):
+    """Over whole, unaltered texts; wrap_text, like its SQL, sees their first 60 characters."""
+    return _read(spark, sf_dir, "documents").select("doc_id", T.wrap(F.col("text"), 36, " ").alias("spaced"), T.wrap(F.col("text"), 18, "").alias("cjk"))
+
+
 @query(f"""
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n, sha256(string_agg((turn + 1) || '. ' || trim(replace(replace(left(text, 4000), chr(13), chr(10)), chr(10), ' / '), chr(32) || chr(9)), chr(10) ORDER BY turn)) AS message FROM conversations
 WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(DISTINCT turn) = max(turn) + 1) GROUP BY conv_id

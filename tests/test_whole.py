@@ -57,3 +57,16 @@ def test_edit_distance_pairs_whole(spark, tmp_path):
     want = {(k, i): ratio(t[i - 1], t[i]) for k, t in enumerate(texts) for i in range(1, len(t))}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
     assert 0 < got[0, 1] < 0.1 and got[2, 1] == 1
+
+
+def test_wrap_text_whole(spark, tmp_path):
+    def spaced(t):
+        places = [i for i, c in enumerate(t) if c == " "]
+        pool = [i for i in places if i <= 36 and len(t) - i - 1 <= 36] or places
+        at = min(pool, key=lambda i: (abs(i - len(t) // 2), i), default=None)
+        return t if len(t) <= 36 else t[:36] + "\n" + t[36:] if at is None else t[:at] + "\n" + t[at + 1 :]
+
+    texts = ["", "short é", "é" * 36, "é" * 37, "ab cd " * 11, "word é\nx " * 40, "x" * 500, "x" * 90 + " " + "ß" * 9, "a b" + "c" * 200]
+    sf = save(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.spaced, r.cjk) for r in catalog.wrap_text_whole(spark, sf).collect()}
+    assert got == {k: (spaced(t), t if len(t) <= 18 else t[:18] + "\n" + t[18:]) for k, t in enumerate(texts)}
