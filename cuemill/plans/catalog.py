@@ -474,21 +474,31 @@ def near_positions(spark, sf_dir):
     return boxes(spark, sf_dir).select("media_id", "frame", "l_partkey", G.near(F.col("x"), q, half, half).alias("near_center"), G.near(F.when(q.isNotNull(), F.col("x")), q, none, none).alias("near_nothing"))
 
 
+def _placed(spark, sf_dir):
+    style = lambda s: F.array(F.struct(F.lit("Style").alias("key"), F.lit(s).alias("value")))
+    over = cues(spark, sf_dir, "view").withColumn("attributes", style(layout.OVERLAY))
+    talk = cues(spark, sf_dir, "click").withColumn("attributes", style(layout.DIALOGUE))
+    both = over.unionByName(talk).withColumn("x", F.lit(0.25)).withColumn("raw_text", F.lit("sign")).withColumn("font_height", F.lit(0.05))
+    return layout.place(both, 1280, 720).where(G.attribute(F.col("attributes"), "Style") == layout.OVERLAY)
+
+
 @query(rf"""
 WITH v AS ({_cues_sql('view')}), c AS ({_cues_sql('click')}),
 k AS (SELECT * FROM v WHERE EXISTS (SELECT 1 FROM c WHERE c.media_id = v.media_id AND v.start_ms < c.end_ms AND c.start_ms < v.end_ms))
 SELECT v.media_id, v.seq, CASE WHEN k.seq IS NULL THEN 'free' ELSE 'lifted' END AS state FROM v LEFT JOIN k ON k.media_id = v.media_id AND k.seq = v.seq WHERE v.y < 0.155
 """)
 def placed_cues(spark, sf_dir):
-    style = lambda s: F.array(F.struct(F.lit("Style").alias("key"), F.lit(s).alias("value")))
-    over = cues(spark, sf_dir, "view").withColumn("attributes", style(layout.OVERLAY))
-    talk = cues(spark, sf_dir, "click").withColumn("attributes", style(layout.DIALOGUE))
-    both = over.unionByName(talk).withColumn("x", F.lit(0.25)).withColumn("raw_text", F.lit("sign")).withColumn("font_height", F.lit(0.05))
-    got = layout.place(both, 1280, 720).where((G.attribute(F.col("attributes"), "Style") == layout.OVERLAY) & (F.col("y") < 0.155))
+    got = _placed(spark, sf_dir).where(F.col("y") < 0.155)
     free = F.concat(G.override_prefix(F.col("x"), F.col("y"), 1280, 720), F.lit("sign"))
     return got.select("media_id", "seq", F.when(F.col("display_text") == free, "free").otherwise("lifted").alias("state"))
 
 
+@query()
+def placed_cues_whole(spark, sf_dir):
+    """The display text of every overlay cue; placed_cues, like its SQL, leaves out those with y of 0.155 or more."""
+    return _placed(spark, sf_dir).select("media_id", "seq", "display_text")
+
+
 @query()
 def ass_documents(spark, sf_dir):
     talk = cues(spark, sf_dir, "click").withColumn("attributes", F.array(F.struct(F.lit("Style").alias("key"), F.lit(layout.DIALOGUE).alias("value")))).withColumn("display_text", F.lit("a\nb"))

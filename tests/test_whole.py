@@ -1,5 +1,6 @@
 """Catalogued queries over whole rows and texts, against plain models on small tables."""
 
+import datetime
 import random
 
 from pyspark.sql import functions as F
@@ -70,3 +71,24 @@ def test_wrap_text_whole(spark, tmp_path):
     sf = save(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: (r.spaced, r.cjk) for r in catalog.wrap_text_whole(spark, sf).collect()}
     assert got == {k: (spaced(t), t if len(t) <= 18 else t[:18] + "\n" + t[18:]) for k, t in enumerate(texts)}
+
+
+def test_placed_cues_whole(spark, tmp_path):
+    rng = random.Random(8)
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(k, day + datetime.timedelta(minutes=rng.randint(0, 400)), k % 3, "view" if rng.random() < 0.7 else "click", rng.randint(1, 60) / 2) for k in range(120)]
+    sf = save(spark, tmp_path, "events", rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double")
+    span = {r[0]: (int((r[1] - day).total_seconds() * 1000), int((r[1] - day).total_seconds() * 1000) + int(r[4] * 600_000)) for r in rows}
+    want = {}
+    for user in range(3):
+        talk = [span[r[0]] for r in rows if r[2] == user and r[3] == "click"]
+        ends = []
+        for k in sorted((r[0] for r in rows if r[2] == user and r[3] == "view"), key=lambda k: (span[k][0], k % 19, k)):
+            (a, b), y = span[k], k % 19 / 100
+            if y < 0.2 and any(a < d and c < b for c, d in talk):
+                lane = next((i for i, e in enumerate(ends) if e <= a), len(ends))
+                ends[lane : lane + 1] = [b]
+                y = max(y, 0.16 + 0.04 * lane)
+            want[user, k] = f"{{\\an4\\pos(320,{int((1 - min(y, 1)) * 720 + 0.5)})}}sign"
+    got = {(r.media_id, r.seq): r.display_text for r in catalog.placed_cues_whole(spark, sf).collect()}
+    assert got == want and any(k % 19 > 15 for _, k in got)
