@@ -8,6 +8,7 @@ holds a bounded working set however long its partition is.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -25,21 +26,35 @@ _IDENTITY = np.arange(256, dtype=np.uint8)
 LOWER = _IDENTITY.copy()
 LOWER[65:91] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE_KEYS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
-_powers: dict[str, np.ndarray] = {}
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 64
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: A key is hot if it holds more than this share of all rows, so there are at most HOT_KEYS such keys.
+HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the folder named by spark.checkpoint.dir, which every executor sees.
 
-    Where the setting is absent (tests on one machine) a temporary folder is set for the session."""
+    Where the setting is absent a local master (tests on one machine) gets a temporary folder for the
+    session; any other master is refused, as its executors would each write to a disk of their own."""
+    return f"{_shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def lasting_dir(spark: SparkSession, name: str) -> str:
+    """A folder below spark.checkpoint.dir that keeps its name from run to run."""
+    return f"{_shared_base(spark)}/{name}"
+
+
+def _shared_base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cuemill-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -62,13 +77,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _table(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        full = np.full(max(n, BLOCK + 1), base, np.uint64)
-        full[0] = 1
-        have = _powers[kind] = np.multiply.accumulate(full)
-    return have
+def runs(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every run of width consecutive values, each put together from two shorter runs."""
+    if width == 1:
+        return h
+    reach = width // 2
+    half = runs(h, reach)
+    n = max(0, len(half) - reach)
+    out = mix(half[:n] * np.uint64(0xD6E8FEB86659FD93) + half[reach : reach + n])
+    if width % 2:
+        n = max(0, n - 1)
+        out = mix(out[:n] * np.uint64(0xA0761D6478BD642F) + h[width - 1 : width - 1 + n])
+    return out
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,11 +140,25 @@ class Words:
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, translate: np.ndarray = _IDENTITY) -> np.ndarray:
-    """64-bit hash of byte spans: differences of a running polynomial sum, brought to a common power."""
-    n = len(raw)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_KEYS[translate][raw] * _table("up", _BASE, n + 1)[:n], out=total[1:])
-    return mix((total[end] - total[start]) * _table("down", _BASE_INVERSE, n + 1)[start] + (end - start).astype(np.uint64))
+    """64-bit hash of byte spans: a chain of finalised steps over eight bytes each, of long spans a BLAKE2 digest.
+
+    Each step is a bijection of the eight bytes, so no two spans have a collision by their structure."""
+    if translate is not _IDENTITY:
+        raw = translate[raw]
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    h = mix(mix(size.astype(np.uint64) + _SEED) ^ (eight[start] & _MASK[np.minimum(size, 8)]))
+    done = 8
+    more = np.flatnonzero((size > done) & (size <= LONG_SPAN))
+    while len(more):
+        h[more] = mix(h[more] ^ (eight[start[more] + done] & _MASK[np.minimum(size[more] - done, 8)]))
+        done += 8
+        more = more[size[more] > done]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def sums_by_row(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -140,3 +174,19 @@ def word_blocks(column: pa.Array, limit: int = BLOCK, between: np.ndarray = _SPA
     for lo, hi in blocks(offsets, limit):
         a, b = offsets[lo], offsets[hi]
         yield lo, hi, Words(raw[a:b], offsets[lo : hi + 1] - a, between)
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str, most_hot: int = HOT_KEYS) -> DataFrame:
+    """rows left-joined to table (one row a key) on a column both have, without a task for a hot key.
+
+    Keys that hold more than one of most_hot of all rows are hot; there are fewer than most_hot of them,
+    so their rows of table are broadcast; all other keys are joined by shuffling.  Null keys match nothing."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    total = rows.count()
+    hot = staged(counts.where(F.col("count") * most_hot > total).select(F.col(key).alias("_hot_key")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(table, key, "left")
+    rare = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left_anti")
+    often = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left_semi")
+    few = table.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left_semi")
+    return rare.join(table, key, "left").unionByName(often.join(F.broadcast(few), key, "left"))

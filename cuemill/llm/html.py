@@ -1,31 +1,36 @@
 """HTML extraction by wrapper induction.
 
-A few reference pages of each host are aligned by simple tree matching.  Matched nodes with equal text
-are the host's template, all others are slots.  The wrapper of a host is the path of the
-container that holds its slots, with the template's texts; extraction keeps the blocks below that
-path.  Slots of menus, notices, adverts and the like vary as well, so elements of such roles never count.
-
-Alignment needs a bounded number of references, so a host with a third of all pages is no
-group anywhere: references are chosen by distributed minima, and each page is extracted by itself.
+A host's pages fall into layouts: the path of the container that holds most of a page's text.  Up to
+``REFERENCES`` pages of each layout are aligned by simple tree matching; nodes with equal text are constant, all
+others are varying slots, and the wrapper's root is the deepest container that holds the slots.  What is
+template is decided over all pages: a block (path and text) that a share of the layout's distinct pages
+has, outside article and main elements, goes.  Menus, notices, adverts and the like vary as well, so
+elements of such roles never count.
+
+Every page is parsed once, into its blocks; these are staged, counted by map-side sums, and filtered in
+the JVM by the wrapper of their layout.  No host is a group anywhere, and a layout with a large share of
+all pages meets its wrapper by a broadcast of proven size.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
 import re
+from bisect import bisect_left
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._core import staged
+from ._core import join_split, staged
 
 REFERENCES = 4
 SPREAD = 64
-MAX_DEPTH = 300
-BROADCAST_BYTES = 8 << 20
+#: Share of a layout's distinct pages that makes a block template; two pages at least.
+TEMPLATE_SHARE = 0.3
+BROADCAST_ROWS = 50_000
 # Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -37,6 +42,7 @@ _ROLE = r"ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|menu|nav|na
 # A whole class token: a role word, or one with a listed word before or after it ("no-sidebar" is neither).
 ROLE_WORDS = re.compile(rf"(?:^|\s)(?:(?:site|main|global|primary|secondary|top|bottom|cookie|ad|social|google)[_-])?(?:{_ROLE})(?:[_-](?:area|banner|bar|block|bottom|box|buttons?|container|default|form|icons|inner|items?|links?|list|main|menu|notice|popup|posts?|primary|secondary|section|signup|slot|top|unit|widgets?|wrap|wrapper))?(?=$|\s)", re.I)
 CLOSES_P = BLOCKS - {"body", "html"}
+DIGITS = re.compile("[0-9]+")
 
 
 class Node:
@@ -50,26 +56,38 @@ def _dropped(tag: str, attrs: dict[str, str]) -> bool:
     return tag in DROPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES
 
 
-def _dropped_by_class(tag: str, attrs: dict[str, str], inside: list[Node]) -> bool:
+def _dropped_by_class(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     """Headers and elements named for a role; one that turns out to hold an article or main element stays."""
     if tag in LANDMARKS or tag in ("html", "body"):
         return False
     if tag == "header":
-        return not any(n.tag == "article" for n in inside)
+        return not in_article
     return bool(ROLE_WORDS.search(attrs.get("class", "")) or ROLE_WORDS.search(attrs.get("id", "")))
 
 
 class _Builder(HTMLParser):
+    """A tree of any depth; the open elements are a list, with their number by tag beside it."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("", "", False)
         self.open = [self.root]
-        self.deeper: list[str] = []  # elements beyond MAX_DEPTH, flattened into the last open one
+        self.count: dict[str, int] = {}
+        self.named: list[int] = []  # places of open elements that are dropped for their class
+
+    def _cut(self, i: int) -> None:
+        for node in self.open[i:]:
+            self.count[node.tag] -= 1
+        del self.open[i:]
+        while self.named and self.named[-1] >= i:
+            self.named.pop()
 
     def _close(self, tags, stop=frozenset()):
+        if not any(self.count.get(t) for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
-                del self.open[i:]
+                self._cut(i)
                 return
             if self.open[i].tag in stop:
                 return
@@ -87,17 +105,19 @@ class _Builder(HTMLParser):
         elif tag == "tr":
             self._close({"tr"}, {"table"})
         dropped = _dropped(tag, attrs)
-        node = Node(tag, f"{tag}.{attrs['class']}" if attrs.get("class") else tag, dropped, not dropped and _dropped_by_class(tag, attrs, self.open))
+        by_class = not dropped and _dropped_by_class(tag, attrs, bool(self.count.get("article")))
+        name = DIGITS.sub("9", attrs.get("class", ""))
+        node = Node(tag, f"{tag}.{name}" if name else tag, dropped, by_class)
         if tag in LANDMARKS:
-            for n in self.open:
-                if n.by_class:
-                    n.dropped = False
+            for i in self.named:
+                self.open[i].dropped = False
+            self.named.clear()
         self.open[-1].kids.append(node)
         if tag not in VOID:
-            if len(self.open) < MAX_DEPTH:
-                self.open.append(node)
-            else:
-                self.deeper.append(tag)
+            if by_class:
+                self.named.append(len(self.open))
+            self.open.append(node)
+            self.count[tag] = self.count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -105,11 +125,6 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.deeper:
-            if tag in self.deeper:
-                while self.deeper.pop() != tag:
-                    pass
-            return
         self._close({tag}, frozenset() if tag in BLOCKS else BLOCKS)
 
     def handle_data(self, data):
@@ -123,157 +138,213 @@ def parse(html: str) -> Node:
     return b.root
 
 
-def _blocks(node: Node, path: str, root: str | None, out: list, line: list, state: dict) -> None:
-    """Append (path, inside landmark, text) of the blocks below node that lie below root (None: anywhere)."""
+_paths: dict[tuple[int, str], int] = {}
+
+
+def path_of(parent: int, label: str) -> int:
+    """Number of the path that label makes below a path; the same on every machine."""
+    key = (parent, label)
+    if key not in _paths:
+        if len(_paths) > 1_000_000:
+            _paths.clear()
+        digest = hashlib.blake2b(f"{parent}/{label}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        _paths[key] = int.from_bytes(digest, "little", signed=True)
+    return _paths[key]
+
+
+def outline(tree: Node) -> tuple[list[tuple[int, bool, str]], list[tuple[int, int, int]]]:
+    """Blocks of a tree in page order as (path, inside a landmark, text), and its containers with text as
+    (path, first block, end block)."""
+    blocks: list[tuple[int, bool, str]] = []
+    spans: list[tuple[int, int, int]] = []
+    line: list[str] = []
+    at, marks = 0, 0
 
     def end():
         text = " ".join("".join(line).split())
         line.clear()
         if text:
-            out.append((state["path"], state["landmark"] > 0, text))
-
-    for k in node.kids:
-        if isinstance(k, str):
-            if root is None or state["in"]:
-                if not line:
-                    state["path"] = path
-                line.append(k)
-            continue
-        if k.dropped:
+            blocks.append((at, marks > 0, text))
+
+    walk = [(tree, iter(tree.kids), 0, 0)]
+    while walk:
+        node, kids, path, first = walk[-1]
+        k = next(kids, None)
+        if k is None:
+            walk.pop()
+            if not walk or node.tag in BLOCKS:
+                end()
+            marks -= node.tag in LANDMARKS
+            if node.tag in CONTAINERS and len(blocks) > first:
+                spans.append((path, first, len(blocks)))
+        elif isinstance(k, str):
+            if not line:
+                at = path
+            line.append(k)
+        elif k.dropped:
             if k.tag in BLOCKS:
                 end()
-            continue
-        here = f"{path}/{k.label}"
-        is_block = k.tag in BLOCKS or k.tag == "br"
-        if is_block:
-            end()
-        enters = root is not None and here == root
-        state["in"] += enters
-        state["landmark"] += k.tag in LANDMARKS
-        _blocks(k, here, root, out, line, state)
-        if is_block:
-            end()
-        state["in"] -= enters
-        state["landmark"] -= k.tag in LANDMARKS
-    if not path:
-        end()
-
-
-def blocks_of(tree: Node, root: str | None) -> list[tuple[str, bool, str]]:
-    out: list[tuple[str, bool, str]] = []
-    _blocks(tree, "", root, out, [], {"in": 0, "landmark": 0, "path": ""})
-    return out
+        else:
+            if k.tag in BLOCKS or k.tag == "br":
+                end()
+            marks += k.tag in LANDMARKS
+            walk.append((k, iter(k.kids), path_of(path, k.label), len(blocks)))
+    return blocks, spans
+
+
+def layout_of(blocks, spans) -> int:
+    """Path of the smallest container with more than half of a page's text; 0 if none has."""
+    sums = [0]
+    for _, _, text in blocks:
+        sums.append(sums[-1] + len(text))
+    return next((p for p, a, b in spans if 2 * (sums[b] - sums[a]) > sums[-1]), 0)
 
 
 class Slim:
-    """A tree for alignment: runs of like siblings are one node, text is what stands directly in it."""
+    """A tree for alignment: like siblings are one node, in the place of the first; text is what stands directly in it."""
 
-    __slots__ = ("label", "tag", "text", "kids")
+    __slots__ = ("tag", "path", "depth", "text", "kids")
 
-    def __init__(self, label: str, tag: str, members: list[Node]):
-        self.label, self.tag = label, tag
+    def __init__(self, tag: str, path: int, depth: int, members: list[Node]):
+        self.tag, self.path, self.depth, self.kids = tag, path, depth, {}
         self.text = " ".join(" ".join(k for m in members for k in m.kids if isinstance(k, str)).split())
-        self.kids = []
-        run: list[Node] = []
-        for k in (k for m in members for k in m.kids if isinstance(k, Node) and not k.dropped):
-            if run and run[0].label != k.label:
-                self.kids.append(Slim(run[0].label, run[0].tag, run))
-                run = []
-            run.append(k)
-        if run:
-            self.kids.append(Slim(run[0].label, run[0].tag, run))
+
+
+def slim_tree(tree: Node) -> Slim:
+    top = Slim("", 0, 0, [tree])
+    todo = [(top, [tree])]
+    while todo:
+        slim, members = todo.pop()
+        groups: dict[str, list[Node]] = {}
+        for m in members:
+            for k in m.kids:
+                if isinstance(k, Node) and not k.dropped:
+                    groups.setdefault(k.label, []).append(k)
+        for label, some in groups.items():
+            slim.kids[label] = Slim(some[0].tag, path_of(slim.path, label), slim.depth + 1, some)
+            todo.append((slim.kids[label], some))
+    return top
+
+
+def _heaviest_order(pairs: list[tuple[int, int]]) -> list[int]:
+    """Indices of the increasing subsequence of (place, weight) pairs with the largest sum of weights."""
+    places = sorted(p for p, _ in pairs)
+    tree: list[tuple[int, int]] = [(0, -1)] * (len(places) + 1)  # prefix maxima of (sum, index), a Fenwick tree
+    before = []
+    best = (0, -1)
+    for i, (place, weight) in enumerate(pairs):
+        at = bisect_left(places, place)
+        found, j = (0, -1), at
+        while j > 0:
+            found = max(found, tree[j])
+            j &= j - 1
+        before.append(found[1])
+        now = (found[0] + weight, i)
+        best = max(best, now)
+        j = at + 1
+        while j <= len(places):
+            tree[j] = max(tree[j], now)
+            j += j & -j
+    out, i = [], best[1]
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
 
 
 def tree_match(a: Slim, b: Slim) -> tuple[int, list[tuple[Slim, Slim]]]:
-    """Simple tree matching: the largest order-preserving top-down matching and its node pairs."""
-    if a.label != b.label:
-        return 0, []
-    n, m = len(a.kids), len(b.kids)
-    best = [[(0, None)] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            score, pairs = tree_match(a.kids[i - 1], b.kids[j - 1])
-            best[i][j] = max((best[i - 1][j][0], (i - 1, j, None)), (best[i][j - 1][0], (i, j - 1, None)), (best[i - 1][j - 1][0] + score, (i - 1, j - 1, pairs)), key=lambda x: x[0])
-    found, i, j = [(a, b)], n, m
-    while i and j:
-        i, j, pairs = best[i][j][1]
-        found += pairs or []
-    return best[n][m][0] + 1, found
-
-
-def _varying(node: Slim, same: dict[int, bool], path: str, share: dict[str, int], landmarks: set[str]) -> int:
-    total = 0 if same.get(id(node)) else len(node.text)
-    here = f"{path}/{node.label}" if node.label else ""
-    total += sum(_varying(k, same, here, share, landmarks) for k in node.kids)
-    if node.tag in CONTAINERS:
-        share[here] = share.get(here, 0) + total
-        if node.tag in LANDMARKS:
-            landmarks.add(here)
-    return total
-
-
-def induce(pages: list[str], most: float = 0.8) -> dict | None:
-    """The wrapper of pages of one host: root path of the content and the template's (path, text) blocks.
-
-    None if fewer than two pages, or if nothing varies between them."""
+    """Simple tree matching: the largest order-preserving top-down matching and its node pairs.
+
+    Siblings differ in their labels, so a node can match one node only, and the best matching of two lists of
+    children is a heaviest increasing subsequence."""
+    pairs, below = [(a, b)], []
+    for x, y in pairs:  # grows as it goes
+        place = {label: i for i, label in enumerate(y.kids)}
+        made = []
+        for label, kid in x.kids.items():
+            if label in place:
+                made.append((len(pairs), place[label]))
+                pairs.append((kid, y.kids[label]))
+        below.append(made)
+    score, chosen = [1] * len(pairs), [[]] * len(pairs)
+    for i in range(len(pairs) - 1, -1, -1):
+        some = [(place, score[k]) for k, place in below[i]]
+        chosen[i] = [below[i][j][0] for j in _heaviest_order(some)]
+        score[i] += sum(score[k] for k in chosen[i])
+    found, todo = [], [0]
+    while todo:
+        i = todo.pop()
+        found.append(pairs[i])
+        todo += chosen[i]
+    return score[0], found
+
+
+def _varying(top: Slim, same: set[int], share: dict[int, int], known: dict[int, Slim]) -> int:
+    """Add the varying text below each container of a tree to share; returns that of the tree."""
+    order = [top]
+    for node in order:
+        order += node.kids.values()
+    total: dict[int, int] = {}
+    for node in reversed(order):
+        n = (0 if id(node) in same else len(node.text)) + sum(total[id(k)] for k in node.kids.values())
+        total[id(node)] = n
+        if node.tag in CONTAINERS:
+            share[node.path] = share.get(node.path, 0) + n
+            known[node.path] = node
+    return total[id(top)]
+
+
+def induce(pages: list[str], most: float = 0.8) -> int | None:
+    """Path of the container that holds the slots of pages of one layout; None if fewer than two, or if nothing varies."""
     if len(pages) < 2:
         return None
-    trees = [parse(p) for p in pages]
-    slim = [Slim("", "", [t]) for t in trees]
-    share: dict[str, int] = {}
-    landmarks: set[str] = set()
+    slim = [slim_tree(parse(p)) for p in pages]
+    share: dict[int, int] = {}
+    known: dict[int, Slim] = {}
     total = 0
     for k, a in enumerate(slim):
-        b = slim[(k + 1) % len(slim)]
-        same = {id(x): x.text == y.text for x, y in tree_match(a, b)[1]}
-        total += _varying(a, same, "", share, landmarks)
+        same = {id(x) for x, y in tree_match(a, slim[(k + 1) % len(slim)])[1] if x.text == y.text}
+        total += _varying(a, same, share, known)
     if not total:
         return None
-    marked = [p for p in landmarks if 2 * share[p] >= total]
-    good = marked or [p for p in share if p and share[p] >= most * total]
-    if not good:
-        return None
-    root = max(good, key=lambda p: (p.count("/"), share[p]))
-    seen = [{(p, t) for p, inside, t in blocks_of(t0, None) if not inside} for t0 in trees]
-    return {"root": root, "template": sorted(set.intersection(*seen))}
-
-
-def extract(html: str | None, wrapper: dict | None) -> str:
-    """Main text of a page: blocks in page order, one a line; empty if there are none."""
-    if not html:
-        return ""
-    tree = parse(html)
-    if wrapper:
-        template = {tuple(x) for x in wrapper["template"]}
-        text = [t for p, inside, t in blocks_of(tree, wrapper["root"]) if inside or (p, t) not in template]
-        if text:
-            return "\n".join(text)
-    every = blocks_of(tree, None)
-    inside = [t for _, landmark, t in every if landmark]
-    return "\n".join(inside or [t for _, _, t in every])
+    marked = [p for p in share if known[p].tag in LANDMARKS and 2 * share[p] >= total]
+    good = marked or [p for p in share if share[p] >= most * total]
+    return max(good, key=lambda p: (known[p].depth, share[p]), default=None)
 
 
-def _induce_all(batches):
-    """Rows of (host, pages) to (host, wrapper as JSON)."""
-    for b in batches:
-        hosts, pages = b.column(0).to_pylist(), b.column(1)
-        made = [json.dumps(induce([p for p in x if p])) for x in pages.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(made, pa.string())], ["h", "wrapper"])
+def extract(html: str | None, wrapper: tuple[int | None, set[int]] | None = None) -> str:
+    """Main text of one page by a wrapper (root, hashes of template blocks), as extract_pages gives it."""
+    blocks, spans = outline(parse(html)) if html else ([], [])
+    root, template = wrapper or (None, set())
+    below = [(a, b) for p, a, b in spans if p == root]
+    found = [t for i, (p, mark, t) in enumerate(blocks) if any(a <= i < b for a, b in below) and (mark or path_of(p, t) not in template)]
+    return "\n".join(found or [t for _, mark, t in blocks if mark] or [t for _, _, t in blocks])
+
 
+_BLOCK = pa.struct([("h", pa.int64()), ("l", pa.bool_()), ("t", pa.string())])
+_SPAN = pa.struct([("p", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
-def _extract_all(batches):
-    loaded: dict[str, dict | None] = {}
+
+def _outline_all(batches):
+    """Rows of (page_id, url, host, x, html) to their layout, blocks and containers."""
     for b in batches:
         for lo in range(0, b.num_rows, 256):
             page = b.slice(lo, 256)
-            text = []
-            for html, w in zip(page.column(2).to_pylist(), page.column(3).to_pylist(), strict=True):
-                if w is not None and w not in loaded:
-                    if len(loaded) > 1000:
-                        loaded.clear()
-                    loaded[w] = json.loads(w)
-                text.append(extract(html, loaded[w] if w is not None else None))
-            yield pa.RecordBatch.from_arrays([page.column(0), page.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            layouts, blocks, spans = [], [], []
+            for html in page.column(4).to_pylist():
+                some, around = outline(parse(html)) if html else ([], [])
+                layouts.append(layout_of(some, around))
+                blocks.append([{"h": path_of(p, t), "l": mark, "t": t.encode("utf-8", "replace").decode()} for p, mark, t in some])
+                spans.append([{"p": p, "a": a, "b": z} for p, a, z in around])
+            made = (pa.array(layouts, pa.int64()), pa.array(blocks, pa.list_(_BLOCK)), pa.array(spans, pa.list_(_SPAN)))
+            yield pa.RecordBatch.from_arrays([*(page.column(k) for k in range(4)), *made], ["page_id", "url", "host", "x", "layout", "blocks", "spans"])
+
+
+def _induce_all(batches):
+    """Rows of (layout key, pages) to (layout key, root)."""
+    for b in batches:
+        keys, pages = b.column(0), b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([keys, pa.array([induce([p for p in x if p]) for x in pages], pa.int64())], ["g", "root"])
 
 
 def host_of(url):
@@ -282,27 +353,61 @@ def host_of(url):
     return F.when(host != "", host)
 
 
-def wrappers(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
-    """(h, wrapper) for every host; references are the distinct pages with the smallest hashes."""
-    rows = pages.where("host is not null and html is not null").withColumn("x", F.xxhash64("html"))
-    low = rows.groupBy("host", F.pmod("x", F.lit(SPREAD)).alias("b")).agg(F.min("x").alias("x"))
-    rank = F.row_number().over(W.partitionBy("host").orderBy("x"))  # SPREAD rows a host at most
-    wanted = low.withColumn("r", rank).where(F.col("r") <= references).select(F.col("host").alias("h"), F.col("x").alias("hx"))
-    one = rows.join(wanted, (F.col("host") == F.col("h")) & (F.col("x") == F.col("hx"))).groupBy("h", "hx").agg(F.first("html").alias("html"))
-    refs = one.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("hx", "html"))).alias("refs")).select("h", F.transform("refs", lambda r: r["html"]).alias("pages"))
-    return staged(refs.mapInArrow(_induce_all, "h string, wrapper string"), "html-wrappers")
+def wrappers(rows: DataFrame, outlined: DataFrame, references: int = REFERENCES, share: float = TEMPLATE_SHARE) -> DataFrame:
+    """(g, root, template) of every layout with two distinct pages or more; g is its key, template the hashes of its blocks."""
+    outer = F.transform(F.filter("blocks", lambda k: ~k["l"]), lambda k: k["h"])
+    known = outlined.where("g is not null").select("g", "host", "x", F.array_distinct(outer).alias("h"))
+    pages = staged(known.groupBy("g", "host", "x").agg(F.first("h").alias("h")), "html-layouts")
+    number = staged(pages.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "html-sizes")
+    counts = pages.select("g", F.explode("h").alias("h")).groupBy("g", "h").agg(F.count("*").alias("c")).where("c > 1")
+    often = join_split(counts, number, "g").where(F.col("c") >= F.col("n") * share)
+    template = often.groupBy("g").agg(F.collect_list("h").alias("template"))
+    # references: the smallest of the least hashes of SPREAD parts, so that no layout is sorted whole
+    low = pages.groupBy("g", "host", F.pmod("x", F.lit(SPREAD)).alias("part")).agg(F.min("x").alias("x"))
+    rank = F.row_number().over(W.partitionBy("g").orderBy("x"))
+    wanted = staged(low.withColumn("r", rank).where(F.col("r") <= references).join(number.select("g"), "g").select("g", F.col("host").alias("w_host"), F.col("x").alias("w_x")), "html-wanted")
+    chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = rows.join(chosen, (F.col("host") == F.col("w_host")) & (F.col("x") == F.col("w_x")))
+    one = texts.groupBy("g", "w_x").agg(F.first("html").alias("html"))
+    refs = one.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("w_x", "html"))).alias("refs"))
+    roots = refs.select("g", F.transform("refs", lambda r: r["html"]).alias("pages")).mapInArrow(_induce_all, "g string, root bigint")
+    return staged(roots.join(template, "g", "left"), "html-wrappers")
+
+
+def _let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def main_text() -> Column:
+    """The text of a page from its blocks and containers and the root and template of its layout."""
+    every = F.transform("blocks", lambda k, i: F.struct(i.alias("i"), k["h"].alias("h"), k["l"].alias("l"), k["t"].alias("t")))
+    none = F.array().cast("array<bigint>")
+
+    def inside(places):
+        kept = lambda k: k["l"] | ~F.array_contains(F.coalesce("template", none), k["h"])
+        return F.filter(every, lambda k: F.exists(places, lambda s: (s["a"] <= k["i"]) & (k["i"] < s["b"])) & kept(k))
+
+    below = _let(F.filter("spans", lambda s: s["p"] == F.col("root")), inside)
+    marked = F.filter(every, lambda k: k["l"])
+    pick = lambda found: F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).when(F.size(marked) > 0, marked).otherwise(every)
+    return F.array_join(F.transform(_let(below, pick), lambda k: k["t"]), "\n")
 
 
 def extract_pages(pages: DataFrame, references: int = REFERENCES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page from its whole html; returns page_id, url, text and n_chars.
 
-    Null or empty html gives the empty text.  A page without host, or alone on its host, falls back
-    on its article or main element, else on all blocks outside the dropped roles.  Repeated rows and
-    null ids stay, an empty table gives an empty table; other columns are ignored, whatever their names.
+    Null or empty html gives the empty text.  A page without host, or alone in its layout, falls back
+    on its article or main element, else on all blocks outside the dropped roles.  Elements may nest to any
+    depth, and a page may have any number of them.  Repeated rows and null ids stay, an empty table gives
+    an empty table; other columns are ignored, whatever their names.
     """
-    rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"), host_of(pages[url_col]).alias("host"))
-    made = wrappers(rows, references)
-    size = made.agg(F.coalesce(F.sum(F.length("h") + F.length("wrapper")), F.lit(0)).alias("n")).first()["n"]
-    made = F.broadcast(made) if size <= BROADCAST_BYTES else made
-    joined = rows.join(made, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "wrapper")
-    return joined.mapInArrow(_extract_all, f"page_id {pages.schema[id_col].dataType.simpleString()}, url string, text string, n_chars bigint")
+    rows = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), host_of(pages[url_col]).alias("host"), F.xxhash64(pages[html_col]).alias("x"), pages[html_col].alias("html"))
+    kind = pages.schema[id_col].dataType.simpleString()
+    schema = f"page_id {kind}, url string, host string, x bigint, layout bigint, blocks array<struct<h:bigint,l:boolean,t:string>>, spans array<struct<p:bigint,a:int,b:int>>"
+    outlined = rows.mapInArrow(_outline_all, schema).withColumn("g", F.when(F.size("blocks") > 0, F.concat_ws("|", F.when(F.col("host").isNotNull(), F.col("layout").cast("string")), "host")))
+    outlined = outlined.withColumn("g", F.when(F.col("host").isNotNull(), F.col("g")))
+    outlined = staged(outlined, "html-blocks")
+    made = wrappers(rows, outlined, references)
+    joined = join_split(outlined.select("page_id", "url", "g", "blocks", "spans"), made, "g")
+    return joined.select("page_id", "url", main_text().alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._core import BLOCK, _BASE, _BASE_INVERSE, _table, mix, staged, text_of, word_blocks
+from ._core import mix, runs, staged, text_of, word_blocks
 from ._stats import _repeats
 
 U = np.uint64
@@ -34,14 +34,6 @@ ROW_KEYS = mix(np.arange(1, ROWS + 1, dtype=U))
 N_CHUNKS = ROWS << (ROW_BITS - CHUNK_BITS)
 
 
-def _runs(total: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every run of width words from the running sums of their hashes."""
-    n = len(total) - width
-    if n <= 0:
-        return np.zeros(0, U)
-    return mix((total[width:] - total[:-width]) * _table("down", _BASE_INVERSE, n)[:n] + U(width))
-
-
 def _least(x: np.ndarray, span: int) -> np.ndarray:
     """Minimum of each span consecutive values."""
     if len(x) < span:
@@ -57,10 +49,8 @@ def _least(x: np.ndarray, span: int) -> np.ndarray:
 def windows(words, width: int, gram: int):
     """(row, first word in the row, hash, representative) of the windows of each row."""
     h = words.hashes()
-    total = np.zeros(len(h) + 1, U)
-    np.cumsum(h * _table("up", _BASE, max(len(h), BLOCK))[: len(h)], out=total[1:])
-    whole = _runs(total, width)
-    rep = _least(_runs(total, gram), width - gram + 1)
+    whole = runs(h, width)
+    rep = _least(runs(h, gram), width - gram + 1)
     count = np.maximum(words.count - width + 1, 0)
     at = np.concatenate(([0], np.cumsum(count)))
     pos = np.arange(at[-1]) - np.repeat(at[:-1], count)

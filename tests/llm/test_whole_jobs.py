@@ -25,3 +25,53 @@ def test_long_items_are_found_by_any_part(spark):
     got = decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert {(g.doc_id, g.item_id) for g in got} == {(k, k) for k, _ in items}
     assert all(g.common == 1 and g.answer == 1 for g in got)
+
+
+def test_pages_of_any_depth_and_width(spark):
+    deep = lambda n: "<div>" * n + "<nav>Menu</nav><script>var x=1</script><p>deep</p>"
+    wide = lambda k: "<body>" + "".join(f"<div class='c{chr(97 + i % 26) * (1 + i // 26)}'><p>text {k} {i}</p></div>" for i in range(1500))
+    rows = [(n, "x", deep(n)) for n in (250, 305, 400, 5000)] + [(-k, "http://w.example/", wide(k)) for k in (1, 2, 3)]
+    got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(got[n] == "deep" for n in (250, 305, 400, 5000))
+    assert all(got[-k] == "\n".join(f"text {k} {i}" for i in range(1500)) for k in (1, 2, 3))
+
+
+def test_templates_are_counted_over_all_pages_of_a_layout(spark):
+    """One host with two layouts, a block on most pages, and a notice of three wordings; against a plain count."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    rows, want = [], {}
+    for k in range(90):
+        text = [" ".join(word() for _ in range(20)) for _ in range(3)]
+        body = "".join(f"<p>{t}</p>" for t in text)
+        most = "<p>Get our app</p>" if k % 20 else ""
+        turn = f"<p>Notice {k % 3}</p>"
+        page = f"<body><div class='a9'>{most}{turn}<div class='body{k}'>{body}</div></div>" if k % 2 else f"<body><section><div class='post'>{turn}{body}{most}</div></section>"
+        rows.append((k, "http://two.example/p", page))
+        want[k] = "\n".join(text)
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(5)
+    assert {x.page_id: x.text for x in html.extract_pages(df).collect()} == want
+
+
+def plain_match(a, b):
+    """Simple tree matching by its recurrence over all pairs of children."""
+    if a.path != b.path:
+        return 0
+    x, y = list(a.kids.values()), list(b.kids.values())
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_match(x[i], y[j]))
+    return best[-1][-1] + 1
+
+
+def test_tree_matching_against_its_recurrence():
+    r = random.Random(6)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if r.random() < 0.7 else 'x'}</{t}>" for t in r.sample(["div", "p", "b", "i", "span", "section"], r.randint(0, 5))) if depth else ""
+
+    for _ in range(60):
+        a, b = (html.slim_tree(html.parse(f"<body>{tree(4)}")) for _ in range(2))
+        score, pairs = html.tree_match(a, b)
+        assert score == plain_match(a, b) == len(pairs) and all(x.path == y.path for x, y in pairs)
