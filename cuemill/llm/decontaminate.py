@@ -1,14 +1,19 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-The queries are the benchmark's items, in blocks; the searched rows are all documents.  For a block,
-a document is cut into segments of ``SEGMENT`` words, and its words are numbered by the block's vocabulary
-(words outside it carry no weight in any product with an item).  Word frequencies, and a
+The queries are the benchmark's items, in blocks of bounded vocabulary; the searched rows are all documents.
+An item longer than ``SECTION`` words is cut into sections, each found by itself, so items may have any length.
+For a block, a document is cut into segments of ``SEGMENT`` words, and its words are numbered by the block's
+vocabulary (words outside it carry no weight in any product with an item).  Word frequencies, and a
 single-pass randomised SVD of the TF-IDF matrix of all segments, are sums over partitions of arrays
-whose size depends on the vocabulary and the rank only.  Two neighbouring segments are a passage.  Items
-and passages whose cosine in the latent space reaches a threshold are candidates; an item much longer
-than a passage is also looked up by its parts of a passage's length, any of which makes a candidate.  A candidate
-is confirmed by the longest common subsequence of the item's words with the passage and its surroundings,
-and by the same test on the item's answer, its last sentence.
+whose size depends on the vocabulary and the rank only; they are added up piece by piece in many tasks.  Two
+neighbouring segments are a passage.  Sections and passages whose cosine in the latent space reaches a threshold
+are candidates; a section much longer than a passage is also looked up by its parts of a passage's length, any of
+which makes a candidate.  A candidate is confirmed by the longest common subsequence of the section's words with the
+passage and its surroundings; a document holds an item if the sections found cover enough of the item's
+words, and if the same test holds for the item's answer, its last sentence.
+
+Very common words carry no weight.  Sections with hardly any other words are looked up in a search of their own,
+in which all words count, so that no item's result depends on the weights of others.
 
 Words are lower-cased runs of ASCII letters and digits and of non-ASCII characters.
 """
@@ -20,18 +25,23 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._core import LOWER, staged, text_of, word_blocks
 
 SEGMENT = 16
-#: Items of more words are looked up by parts of two segments as well.
+#: Sections of more words are looked up by parts of two segments as well.
 LONG = 4 * SEGMENT
+#: Words of a section at most; longer items are cut into equal sections.
+SECTION = 512
 RANK = 128
-BLOCK_ITEMS = 1000
-BLOCK_WORDS = 60_000
-NONE = 65535
+#: Distinct words and words of a block at most; a single item may bring more, section by section.
+BLOCK_VOCABULARY = 60_000
+BLOCK_WORDS = 500_000
+NONE = (1 << 32) - 1
+#: Entries of a matrix of cosines and of a piece of a summed array.
+TILE = 4_000_000
+PIECE = 1 << 16
 #: Words in more than one of so many segments carry no weight; a passage with fewer weighted words than
 #: LEAST_TERMS (or than the poorest item has) cannot come near any item.
 COMMON = 300
@@ -42,18 +52,24 @@ _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 
 
 class Block:
-    """Some items: their numbers, word sequences and answers over a common vocabulary of word hashes."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        texts = [t or "" for _, t in rows]
-        hashes = [x for _, _, w in word_blocks(pa.array(texts, pa.string()), between=_BETWEEN) for x in np.split(w.hashes(LOWER), w.rows[1:-1])]
-        answers = [x for _, _, w in word_blocks(pa.array([_answer(t) for t in texts], pa.string()), between=_BETWEEN) for x in np.split(w.hashes(LOWER), w.rows[1:-1])]
-        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        index = lambda h: np.searchsorted(self.vocabulary, h).astype(np.uint16)
-        used = [k for k, h in enumerate(hashes) if len(h)]
-        self.items = [rows[k][0] for k in used]
-        self.words = [index(hashes[k]) for k in used]
-        self.answers = [index(answers[k]) for k in used]
+    """Some sections: their item, word sequence, place in the item and the item's answer, over a common vocabulary of word hashes."""
+
+    def __init__(self, sections: list[tuple[int, int, int, np.ndarray, np.ndarray | None]]):
+        self.items = [x[0] for x in sections]
+        self.totals = [x[1] for x in sections]  # words of the whole item
+        self.numbers = [x[2] for x in sections]
+        self.vocabulary = np.unique(np.concatenate([x[3] for x in sections])) if sections else np.zeros(0, np.uint64)
+        index = lambda h: np.searchsorted(self.vocabulary, h).astype(np.uint32)
+        self.words = [index(x[3]) for x in sections]
+        self.answers = [None if x[4] is None else index(x[4]) for x in sections]
+
+    def part(self, which: list[int]) -> Block:
+        """The same vocabulary with some of the sections."""
+        out = Block([])
+        out.vocabulary = self.vocabulary
+        for name in ("items", "totals", "numbers", "words", "answers"):
+            setattr(out, name, [getattr(self, name)[k] for k in which])
+        return out
 
 
 def _answer(text: str) -> str:
@@ -62,19 +78,34 @@ def _answer(text: str) -> str:
     return " ".join(parts[-2:] if parts and len(parts[-1].split()) < 2 else parts[-1:])
 
 
+def _hashes(text: str) -> np.ndarray:
+    return np.concatenate([w.hashes(LOWER) for _, _, w in word_blocks(pa.array([text], pa.string()), between=_BETWEEN)])
+
+
+def sections_of(item: int, text: str) -> list[tuple[int, int, int, np.ndarray, np.ndarray | None]]:
+    """(item, words of the item, number, word hashes, answer) of the sections of an item.
+
+    The last one has the answer, as far as it lies in that section; others have none."""
+    words, answer = _hashes(text), _hashes(_answer(text))
+    if not len(words):
+        return []
+    parts = np.array_split(words, -(-len(words) // SECTION))
+    answer = answer[-len(parts[-1]) :]
+    return [(item, len(words), k, p, answer if k == len(parts) - 1 else None) for k, p in enumerate(parts)]
+
+
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str):
     """The benchmark row by row from the executors, grouped into blocks of bounded size."""
-    rows, size = [], 0
+    rows, size, seen = [], 0, set()
     for r in benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.lower(text_col).alias("t")).where("i is not null").toLocalIterator():
-        n = len((r[1] or "").split())
-        if rows and (len(rows) >= BLOCK_ITEMS or size + n > BLOCK_WORDS):
-            yield Block(rows)
-            rows, size = [], 0
-        if n <= BLOCK_WORDS:
-            rows.append((r[0], r[1]))
-            size += n
-        else:
-            raise ValueError(f"item {r[0]} has more than {BLOCK_WORDS} words")
+        for section in sections_of(r[0], r[1] or ""):
+            new = set(section[3].tolist())
+            if rows and (size + len(section[3]) > BLOCK_WORDS or len(seen | new) > BLOCK_VOCABULARY):
+                yield Block(rows)
+                rows, size, seen = [], 0, set()
+            rows.append(section)
+            size += len(section[3])
+            seen |= new
     if rows:
         yield Block(rows)
 
@@ -92,11 +123,11 @@ def _number(vocabulary: np.ndarray):
                 h = w.hashes(LOWER)
                 near = np.flatnonzero(gate[(h >> np.uint64(44)).astype(np.int64)])
                 at = np.minimum(np.searchsorted(vocabulary, h[near]), len(vocabulary) - 1)
-                seq = np.full(len(h), NONE, np.uint16)
+                seq = np.full(len(h), NONE, np.uint32)
                 same = vocabulary[at] == h[near]
                 seq[near[same]] = at[same]
                 data = pa.py_buffer(seq.tobytes())
-                packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((2 * w.rows).astype(np.int32).tobytes()), data])
+                packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((4 * w.rows).astype(np.int32).tobytes()), data])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(w.count, pa.int32()), packed], schema=_SEQ)
 
     return run
@@ -106,9 +137,9 @@ class Segments:
     """Vocabulary hits of a batch of sequences: hit k is word term[k] in segment seg[k]; rows are documents."""
 
     def __init__(self, n: np.ndarray, column: pa.Array, step: int, weight: np.ndarray | None = None):
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 2
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] // 4
         data = column.buffers()[2]
-        self.all = np.frombuffer(data, np.uint16, int(data.size // 2)) if data is not None else np.zeros(0, np.uint16)
+        self.all = np.frombuffer(data, np.uint32, int(data.size // 4)) if data is not None else np.zeros(0, np.uint32)
         self.offsets = offsets
         count = np.maximum(-(-n // step), 0)
         self.first = np.concatenate(([0], np.cumsum(count)))
@@ -139,11 +170,18 @@ def _frequencies(size: int):
                 s = Segments(n, part.column(part.schema.get_field_index("seq")), SEGMENT)
                 total[:size] += np.bincount(s.term, minlength=size)
                 total[size] += len(s)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+        yield _pieces_of(total)
 
     return run
 
 
+def _pieces_of(total: np.ndarray) -> pa.RecordBatch:
+    """An array as numbered pieces, so that the sum over partitions is spread over tasks."""
+    flat = total.ravel()
+    cut = [flat[a : a + PIECE].tobytes() for a in range(0, len(flat), PIECE)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], ["k", "v"])
+
+
 def _project(s: Segments, table: np.ndarray) -> np.ndarray:
     """Rows of the term matrix of the segments times a table that has the weights in it."""
     out = np.zeros((len(s), table.shape[1]), np.float32)
@@ -178,39 +216,42 @@ def _gram(weight: np.ndarray, omega):
                 for c in range(g.shape[1]):
                     total[c] += np.bincount(s.term, g[:, c], len(weight))
         total = total.T + alone[:, None] * table
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["v"])
+        yield _pieces_of(total.astype(np.float32))
 
     return run
 
 
-def _summed(df: DataFrame, dtype, fan: int = 16) -> np.ndarray:
-    """Sum of one array per partition, in two rounds so that the driver gets at most fan arrays."""
+def _summed(df: DataFrame, dtype) -> np.ndarray | None:
+    """Sum of the arrays that partitions sent in pieces; the driver gets one array, whatever the number of partitions."""
 
     def add(batches):
-        total = None
+        now, total = None, None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.astype(dtype).tobytes()], pa.binary())], ["k", "v"])
+
         for b in batches:
-            for x in b.column(0):
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 v = np.frombuffer(x.as_buffer(), dtype)
-                total = v.astype(np.float64 if dtype == np.float32 else dtype) if total is None else total + v
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(dtype).tobytes()], pa.binary())], ["v"])
+                if k != now:
+                    if now is not None:
+                        yield done()
+                    now, total = k, np.zeros(len(v), np.float64 if dtype == np.float32 else dtype)
+                total += v
+        if now is not None:
+            yield done()
 
-    rows = df.repartition(fan).mapInArrow(add, "v binary").toLocalIterator()
-    total = None
-    for r in rows:
-        v = np.frombuffer(r["v"], dtype)
-        total = v.copy() if total is None else total + v
-    return total
+    rows = df.repartition("k").sortWithinPartitions("k").mapInArrow(add, "k int, v binary").toLocalIterator()
+    got = {r["k"]: np.frombuffer(r["v"], dtype) for r in rows}
+    return np.concatenate([got[k] for k in sorted(got)]) if got else None
 
 
-def weights(counts: np.ndarray, segments: int, block: Block) -> np.ndarray:
+def weights(counts: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """Inverse-frequency weights: the root of segments per occurrence, up to RAREST, so that in the sums
-    over all segments no word's energy swamps that of rarer ones; 0 for common words."""
+    over all segments no word's energy swamps that of rarer ones; first with 0 for common words, then for all."""
     spread = (segments + 1) / (counts + 1)
-    weight = np.where(spread > COMMON, np.sqrt(np.minimum(spread, RAREST)), 0.0).astype(np.float32)
-    if any(not weight[w.astype(np.int64)].any() for w in block.words):  # an item of common words only
-        weight = np.sqrt(np.minimum(spread, RAREST)).astype(np.float32)
-    return weight
+    weight = np.sqrt(np.minimum(spread, RAREST)).astype(np.float32)
+    return np.where(spread > COMMON, weight, np.float32(0)), weight
 
 
 def latent_space(sequences: DataFrame, weight: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
@@ -218,7 +259,7 @@ def latent_space(sequences: DataFrame, weight: np.ndarray, rank: int, seed: int
     size = len(weight)
     rank = min(rank, size)
     omega = lambda: np.random.Generator(np.random.PCG64(seed)).standard_normal((size, rank)).astype(np.float32)
-    got = _summed(sequences.select("n", "seq").mapInArrow(_gram(weight, omega), "v binary"), np.float32)
+    got = _summed(sequences.select("n", "seq").mapInArrow(_gram(weight, omega), "k int, v binary"), np.float32)
     b = got.reshape(size, rank).astype(np.float64) if got is not None else np.zeros((size, rank))
     core = omega().astype(np.float64).T @ b
     value, vector = np.linalg.eigh((core + core.T) / 2)
@@ -245,9 +286,9 @@ def common_length(item: np.ndarray, region: np.ndarray) -> int:
 
 
 def _parts(block: Block, weight: np.ndarray, least: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Numbers of the items and word sequences to look up: whole items, and the parts of long ones.
+    """Numbers of the sections and word sequences to look up: whole sections, and the parts of long ones.
 
-    Parts with fewer than least weighted words say little and are left to the others, if an item has others."""
+    Parts with fewer than least weighted words say little and are left to the others, if a section has others."""
     of, words = list(range(len(block.words))), list(block.words)
     for k, w in enumerate(block.words):
         if len(w) > LONG:
@@ -259,17 +300,34 @@ def _parts(block: Block, weight: np.ndarray, least: int) -> tuple[np.ndarray, li
     return np.array(of), words
 
 
-_HIT = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.float64())])
+HITS = "doc_id bigint, text_hash bigint, item_id bigint, total int, section int, cosine double, common int, answer double"
+_HIT = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("total", pa.int32()), ("section", pa.int32()), ("cosine", pa.float64()), ("common", pa.int32()), ("answer", pa.float64())])
+
+
+def _confirmed(block: Block, q: int, region: np.ndarray, common: float) -> tuple[int, float | None] | None:
+    """Common words of a section and a region and the share of the answer, or None if they are too few.
+
+    Of several sections each may be poorer than the whole item must be."""
+    section = block.words[q]
+    got = common_length(section, region)
+    if got < (common if len(section) == block.totals[q] else common / 2) * len(section):
+        return None
+    last = block.answers[q]
+    if last is None:
+        return got, None
+    return got, common_length(last, region) / len(last) if len(last) else 1.0
+
 
+def _search(block: Block, weight: np.ndarray, space: np.ndarray, terms: int, cosine: float, common: float):
+    """The best confirmed passage of each section in each document; a passage has at least terms weighted words."""
 
-def _search(block: Block, weight: np.ndarray, space: np.ndarray, cosine: float, common: float, answer: float):
     def run(batches):
         table = np.ascontiguousarray(space * weight[:, None])
-        terms = min(LEAST_TERMS, min(int((weight[w.astype(np.int64)] > 0).sum()) for w in block.words))
         of, parts = _parts(block, weight, terms)
         queries = np.stack([table[w.astype(np.int64)].sum(0) for w in parts])
         length = np.linalg.norm(queries, axis=1, keepdims=True)
         queries = (queries / np.where(length > 0, length, 1)).T.astype(np.float32)
+        tile = max(1, TILE // queries.shape[1])
         for b in batches:
             found = []
             for lo, part, n in _slices(b):
@@ -285,30 +343,30 @@ def _search(block: Block, weight: np.ndarray, space: np.ndarray, cosine: float,
                 live = np.flatnonzero(hits >= terms)
                 pair = pair[live]
                 pair /= np.maximum(np.linalg.norm(pair, axis=1, keepdims=True), 1e-30)
-                got = pair @ queries
                 best: dict[tuple[int, int, int], tuple[float, int]] = {}
-                for p, q in zip(*np.nonzero(got >= cosine), strict=True):
-                    doc, k = s.doc[live[p]], of[q]
-                    at = (live[p] - s.first[doc]) * SEGMENT
-                    # of the passages of a long item that stand close together one is confirmed, over a wider region
-                    near = at // (len(block.words[k]) // 4) if len(block.words[k]) > LONG else at
-                    if (doc, k, near) not in best or best[doc, k, near][0] < got[p, q]:
-                        best[doc, k, near] = (float(got[p, q]), at)
+                for first in range(0, len(live), tile):
+                    got = pair[first : first + tile] @ queries
+                    for p, q in zip(*np.nonzero(got >= cosine), strict=True):
+                        at_seg = live[first + p]
+                        doc, k = s.doc[at_seg], of[q]
+                        at = (at_seg - s.first[doc]) * SEGMENT
+                        # of the passages of a long section that stand close together one is confirmed, over a wider region
+                        near = at // (len(block.words[k]) // 4) if len(block.words[k]) > LONG else at
+                        if (doc, k, near) not in best or best[doc, k, near][0] < got[p, q]:
+                            best[doc, k, near] = (float(got[p, q]), at)
+                top: dict[tuple[int, int], tuple] = {}
                 for (doc, q, _), (score, at) in best.items():
-                    item = block.words[q]
                     base, end = s.offsets[doc], s.offsets[doc + 1]
-                    around = len(item) + (len(item) // 4 if len(item) > LONG else 0)
-                    region = s.all[base + max(0, at - around) : min(end, base + at + 2 * SEGMENT + around)]
-                    share = common_length(item, region) / len(item)
-                    if share >= common:
-                        last = block.answers[q]
-                        told = common_length(last, region) / len(last) if len(last) else 1.0
-                        if told >= answer:
-                            found.append((lo + int(doc), block.items[q], score, share, told))
+                    around = len(block.words[q]) + (len(block.words[q]) // 4 if len(block.words[q]) > LONG else 0)
+                    told = _confirmed(block, q, s.all[base + max(0, at - around) : min(end, base + at + 2 * SEGMENT + around)], common)
+                    if told:
+                        row = (told[0], -1.0 if told[1] is None else told[1], score)
+                        top[doc, q] = max(top.get((doc, q), row), row)
+                found += [(lo + int(doc), block.items[q], block.totals[q], block.numbers[q], score, got, told) for (doc, q), (got, told, score) in top.items()]
             if found:
                 row = [x[0] for x in found]
                 ids, keys = (b.column(b.schema.get_field_index(c)).take(pa.array(row)) for c in ("doc_id", "text_hash"))
-                yield pa.RecordBatch.from_arrays([ids, keys, *[pa.array([x[k] for x in found], _HIT.field(k + 1).type) for k in range(1, 5)]], schema=_HIT)
+                yield pa.RecordBatch.from_arrays([ids, keys, *[pa.array([x[k] for x in found], _HIT.field(k + 1).type) for k in range(1, 7)]], schema=_HIT)
 
     return run
 
@@ -317,36 +375,44 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, commo
     """Pairs of a document and a benchmark item that it holds, verbatim or rephrased.
 
     Returns doc_id, text_hash (of the text, to tell rows of one id apart), item_id, cosine (of the
-    best passage), common (share of the item's words in the longest common subsequence) and answer
+    best passage), common (share of the item's words in longest common subsequences) and answer
     (that share of its last sentence), one row per document row's id, text and item.
 
-    Items without words or id match nothing; equal items match alike.  Null text is empty.  A
-    document with null id is reported with it.  Repeated rows are reported once.  Empty tables give
-    an empty table; other columns are ignored, whatever their names.
+    Items without words or id match nothing; equal items match alike; items of any length are found, those of
+    more than SECTION words section by section.  Items that share an id count as one if they are equal, and are
+    told apart by their number of words if not.  Null text is empty.  A document with null id is reported with it.
+    Repeated rows are reported once.  Empty tables give an empty table; other columns are ignored, whatever
+    their names.
     """
     text = text_of(docs, text_col)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.lower(text).alias("text"))
-    out = None
+    out = docs.sparkSession.createDataFrame([], HITS)
     for block in item_blocks(benchmark, item_col, item_text_col):
-        if not block.items:
-            continue
         size = len(block.vocabulary)
         numbered = staged(rows.mapInArrow(_number(block.vocabulary), "doc_id bigint, text_hash bigint, n int, seq binary"), "leak-sequences")
-        counts = _summed(numbered.select("n", "seq").mapInArrow(_frequencies(size), "v binary"), np.int64)
+        counts = _summed(numbered.select("n", "seq").mapInArrow(_frequencies(size), "k int, v binary"), np.int64)
         counts = counts if counts is not None else np.zeros(size + 1, np.int64)
-        weight = weights(counts[:size], counts[size], block)
-        space = latent_space(numbered, weight, rank)
-        found = numbered.mapInArrow(_search(block, weight, space, cosine, common, answer), "doc_id bigint, text_hash bigint, item_id bigint, cosine double, common double, answer double")
-        found = staged(found, "leaks")
-        out = found if out is None else out.unionAll(found)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, cosine double, common double, answer double")
-    best = W.partitionBy("doc_id", "text_hash", "item_id").orderBy(F.desc("common"), F.desc("answer"), F.desc("cosine"))
-    return out.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
+        rare, every = weights(counts[:size], counts[size])
+        rich = [(rare[w.astype(np.int64)] > 0).sum() >= LEAST_TERMS for w in block.words]
+        for weight, which, terms in ((rare, [k for k, r in enumerate(rich) if r], LEAST_TERMS), (every, [k for k, r in enumerate(rich) if not r], 1)):
+            if which:
+                space = latent_space(numbered, weight, rank)
+                out = out.unionAll(staged(numbered.mapInArrow(_search(block.part(which), weight, space, terms, cosine, common), HITS), "leaks"))
+    # a section's best passage; then the item's sections together
+    best = F.max(F.struct("common", "answer", "cosine")).alias("b")
+    found = out.groupBy("doc_id", "text_hash", "item_id", "total", "section").agg(best)
+    whole = found.groupBy("doc_id", "text_hash", "item_id", "total").agg(F.max("b.cosine").alias("cosine"), (F.sum("b.common") / F.col("total")).alias("common"), F.max("b.answer").alias("answer"))
+    kept = whole.where((F.col("common") >= common) & (F.col("answer") >= answer))
+    same = F.max(F.struct("common", "answer", "cosine")).alias("b")
+    return kept.groupBy("doc_id", "text_hash", "item_id").agg(same).select("doc_id", "text_hash", "item_id", "b.cosine", "b.common", "b.answer")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of docs that hold no benchmark item, unchanged."""
-    bad = find_leaks(docs, benchmark, **settings).select(F.xxhash64("doc_id", "text_hash").alias("_leak_key")).distinct()
-    keyed = docs.withColumn("_row_key", F.xxhash64(docs["doc_id"].cast("bigint"), F.xxhash64(text_of(docs))))
-    return keyed.join(bad, F.col("_row_key") == F.col("_leak_key"), "left_anti").select(*docs.columns)
+    """The rows of docs that hold no benchmark item, unchanged, with the columns of docs whatever their names.
+
+    Null text holds nothing and stays; repeated rows stay or go together; a row with a null id is judged by its
+    text; an empty table gives an empty table."""
+    bad = find_leaks(docs, benchmark, **settings).select("doc_id", "text_hash").distinct()
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    keyed = docs.select(docs["doc_id"].cast("bigint").alias("k_id"), F.xxhash64(text_of(docs)).alias("k_hash"), row)
+    return keyed.join(bad, keyed.k_id.eqNullSafe(bad.doc_id) & (keyed.k_hash == bad.text_hash), "left_anti").select("row.*")

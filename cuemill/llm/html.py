@@ -25,6 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._core import join_split, staged
+from ._text import let
 
 REFERENCES = 4
 SPREAD = 64
@@ -374,11 +375,6 @@ def wrappers(rows: DataFrame, outlined: DataFrame, references: int = REFERENCES,
     return staged(roots.join(template, "g", "left"), "html-wrappers")
 
 
-def _let(value: Column, use) -> Column:
-    """use(value) with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def main_text() -> Column:
     """The text of a page from its blocks and containers and the root and template of its layout."""
     every = F.transform("blocks", lambda k, i: F.struct(i.alias("i"), k["h"].alias("h"), k["l"].alias("l"), k["t"].alias("t")))
@@ -388,10 +384,10 @@ def main_text() -> Column:
         kept = lambda k: k["l"] | ~F.array_contains(F.coalesce("template", none), k["h"])
         return F.filter(every, lambda k: F.exists(places, lambda s: (s["a"] <= k["i"]) & (k["i"] < s["b"])) & kept(k))
 
-    below = _let(F.filter("spans", lambda s: s["p"] == F.col("root")), inside)
+    below = let(F.filter("spans", lambda s: s["p"] == F.col("root")), inside)
     marked = F.filter(every, lambda k: k["l"])
     pick = lambda found: F.when(F.coalesce(F.size(found), F.lit(0)) > 0, found).when(F.size(marked) > 0, marked).otherwise(every)
-    return F.array_join(F.transform(_let(below, pick), lambda k: k["t"]), "\n")
+    return F.array_join(F.transform(let(below, pick), lambda k: k["t"]), "\n")
 
 
 def extract_pages(pages: DataFrame, references: int = REFERENCES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

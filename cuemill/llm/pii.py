@@ -1,11 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are the spans of four fixed kinds.  Every identifier-like token (one with a digit or an @) is
-an instance; the two words before it, with its shape, are a lexical pattern.  Patterns and instances form a
+Seeds are the spans of four fixed kinds.  Looser patterns of two classes (something with an @, seven digits or
+more) give further candidates that no fixed kind has matched, accepted or refused.  The two words before a seed or
+candidate, with its class, are a lexical pattern, the matched text an instance.  Patterns and instances form a
 graph.  In rounds, a pattern's confidence in a kind is the mean score of its distinct instances, and
-an instance that is no seed is scored by a noisy-or over its patterns.  Patterns that enough seeds
-support and that end above the threshold turn their other instances into spans of that kind, unless
-a fixed check has already refused them.
+an instance that is no seed is scored by a noisy-or over its patterns.  Patterns that enough distinct seeds
+support and that end above the threshold turn their other instances into spans of that kind.
+
+Rounds join only what has a score so far, so the graph's other parts cost nothing.  The scored side of each
+join is repeated over ``SPLIT`` parts of the other, so that one common pattern or instance is no task's load.
 
 Patterns below are the given ones with possessive repeats and with look-behinds that keep a search
 from starting inside a run it has already refused; they match the same spans in linear time.
@@ -14,10 +17,11 @@ from starting inside a run it has already refused; they match the same spans in
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._core import staged, text_of
-from ._text import found
+from ._text import PIECE, between, found, let, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed values.
@@ -29,9 +33,17 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 IP_CHECK = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Classes of candidates: looser than the kinds, whose matches are of the class that CLASS names.
+LOOSE = {
+    "at": r"(?:\G|(?<![\p{L}\p{N}._%+-]))[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*+",
+    "digits": r"(?<![\p{L}\p{N}])(?<![0-9][().\x20-]{1,2})[+(]?[0-9](?:[().\x20-]{0,2}[0-9]){6,}+(?![\p{L}\p{N}])",
+}
+CLASS = {"email": "at", "ip": "digits", "card": "digits", "phone": "digits"}
 CONTEXT_CHARS = 80
+LEAST_DIGITS = 14
+SPLIT = 16
 SPANS = "array<struct<s:int,k:int,e:int>>"
+MARKS = "array<struct<s:int,e:int,k:int,class:string,fixed:boolean,v:string,left:string>>"
 
 
 def _passes(kind: str, v: Column) -> Column:
@@ -41,82 +53,82 @@ def _passes(kind: str, v: Column) -> Column:
     if kind == "ip":
         return v.rlike(IP_CHECK)
     if kind == "card":
-        return F.length(digits).between(14, 19) & F.call_function("luhn_check", digits)
+        return F.length(digits).between(LEAST_DIGITS, 19) & F.call_function("luhn_check", digits)
     return F.length(digits).between(10, 15)
 
 
-def _test(kind: str, passing: bool):
-    return lambda x: _passes(kind, x["v"]) if passing else ~_passes(kind, x["v"])
-
-
-def _strip(k: int):
-    return lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
-
-
 def _of_kind(k: int):
     return lambda x: x["k"] == k
 
 
-def _shape(token: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(token, r"\p{L}+", "a"), "[0-9]+", "9"), r"[^a9]{3,}", "~")
-
-
-def _tokens(text: Column) -> Column:
-    """Identifier-like tokens with start, end and the end of the text between the token before and it."""
-    made = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    gaps = F.split(text, TOKEN, -1)
-    zipped = F.filter(F.zip_with(gaps, made, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), lambda x: x["m"].isNotNull())
-    kind = "array<struct<s:int,e:int,v:string,left:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc, x):
-        at = acc["at"] + F.length(x["g"])
-        end = at + F.length(x["m"])
-        item = F.struct(at.cast("int").alias("s"), end.cast("int").alias("e"), x["m"].alias("v"), F.substring(x["g"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("left"))
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    return F.coalesce(F.when(text.rlike(TOKEN), F.aggregate(zipped, zero, step, lambda acc: acc["out"])), F.array().cast(kind))
+def _mark(k: int | None, kind: str, fixed: bool):
+    """A match as a mark: k numbers its kind if it passes the kind's test."""
+    number = lambda x: F.lit(None).cast("int") if k is None else F.when(_passes(kind, x["v"]), k)
+    return lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), number(x).alias("k"), F.lit(CLASS.get(kind, kind)).alias("class"), F.lit(fixed).alias("fixed"), F.lower(x["v"]).alias("v"), x["left"].alias("left"))
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, base, marks) of each row: base spans, and all matches of kinds and classes."""
     text = text_of(docs, text_col)
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    for kind in KINDS:
+    marks = []
+    for k, kind in enumerate(KINDS):
         need = NEEDS.get(kind)
-        rows = rows.withColumn(f"all_{kind}", found(F.col("text"), PATTERNS[kind], F.col("text").contains(need) if need else None))
-    rows = rows.withColumn("tokens", F.when(F.col("text").contains("@") | F.col("text").rlike("[0-9]"), _tokens(F.col("text"))))
-    base = [F.transform(F.filter(f"all_{kind}", _test(kind, True)), _strip(k)) for k, kind in enumerate(KINDS)]
-    refused = [F.transform(F.filter(f"all_{kind}", _test(kind, False)), _strip(k)) for k, kind in enumerate(KINDS)]
-    return rows.select("doc_id", "text_hash", F.array_sort(F.concat(*base)).cast(SPANS).alias("base"), F.concat(*refused).cast(SPANS).alias("refused"), F.coalesce("tokens", F.array().cast("array<struct<s:int,e:int,v:string,left:string>>")).alias("tokens"))
+        got = found(F.col("text"), PATTERNS[kind], F.col("text").contains(need) if need else None, CONTEXT_CHARS)
+        if kind == "card":  # shorter runs of digits are refused for their length, which says nothing of other kinds
+            got = F.filter(got, lambda x: F.length(F.regexp_replace(x["v"], "[^0-9]", "")) >= LEAST_DIGITS)
+        marks.append(F.transform(got, _mark(k, kind, True)))
+    for name, need in (("at", F.col("text").contains("@")), ("digits", F.col("text").rlike("[0-9]"))):
+        marks.append(F.transform(found(F.col("text"), LOOSE[name], need, CONTEXT_CHARS), _mark(None, name, False)))
+    strip = lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))
+    both = lambda m: F.struct(F.array_sort(F.transform(F.filter(m, lambda x: x["k"].isNotNull()), strip)).cast(SPANS).alias("base"), m.cast(MARKS).alias("marks"))
+    return rows.select("doc_id", "text_hash", let(F.concat(*marks), both).alias("m")).select("doc_id", "text_hash", "m.base", "m.marks")
+
+
+def _uses(scanned: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, s, e, k, pattern, instance): seeds, with the number k of their kind, and candidates that meet no match of a kind."""
+    rows = scanned.where(F.size("marks") > 0).select("doc_id", "text_hash", F.explode("marks").alias("t")).select("doc_id", "text_hash", "t.*")
+    # a candidate meets a match that starts before its end and ends after its start
+    order = W.partitionBy("doc_id", "text_hash").orderBy(F.when(F.col("fixed"), F.col("s")).otherwise(F.col("e")), "fixed").rowsBetween(W.unboundedPreceding, -1)
+    reach = F.coalesce(F.max(F.when(F.col("fixed"), F.col("e"))).over(order), F.lit(0))
+    free = rows.withColumn("reach", reach).where(F.col("k").isNotNull() | (~F.col("fixed") & (F.col("reach") <= F.col("s"))))
+    before = F.filter(F.split(F.lower("left"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    words = F.concat_ws(" ", F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), before), -2, 2))
+    named = free.select("doc_id", "text_hash", "s", "e", "k", F.concat_ws("|", "class", words).alias("pattern"), F.xxhash64("class", "v").alias("instance"))
+    return named.where(~F.col("pattern").endswith("|^ ^"))
+
+
+def _split_join(rows: DataFrame, scored: DataFrame, key: str, other: str) -> DataFrame:
+    """rows joined to scored on key; the rows of one key are dealt over SPLIT tasks by their other column."""
+    many = scored.withColumn("_part", F.explode(F.array(*[F.lit(k) for k in range(SPLIT)])))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(other), F.lit(SPLIT)).cast("int")).join(many, [key, "_part"]).drop("_part")
+
+
+def trusted_patterns(uses: DataFrame, rounds: int, support: int, threshold: float) -> DataFrame:
+    """(pattern, kind) of the patterns that the rounds of scoring end up trusting."""
+    links = staged(uses.groupBy("pattern", "instance").agg(F.max("k").alias("k")), "pii-links")
+    size = links.groupBy("pattern").agg(F.count("*").alias("n"))
+    seeds = links.where("k is not null").select("instance", F.col("k").alias("kind"), F.lit(1.0).alias("score"), F.lit(1).alias("seed")).distinct()
+    scores = seeds
+    for left in range(rounds, -1, -1):
+        met = _split_join(links.select("pattern", "instance"), scores, "instance", "pattern")
+        sums = met.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"), F.sum("seed").alias("seeds"))
+        patterns = staged(sums.join(size, "pattern").select("pattern", "kind", (F.col("sum") / F.col("n")).alias("confidence"), "seeds"), "pii-patterns")
+        if left:
+            known = _split_join(links.where("k is null").select("pattern", "instance"), patterns, "pattern", "instance")
+            noisy = 1.0 - F.exp(F.sum(F.log(1.0 - F.least(F.lit(0.999), F.col("confidence")))))
+            scores = seeds.unionByName(known.groupBy("instance", "kind").agg(noisy.alias("score")).withColumn("seed", F.lit(0)))
+    best = F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best")
+    good = patterns.where((F.col("confidence") >= threshold) & (F.col("seeds") >= support))
+    return good.groupBy("pattern").agg(best).select("pattern", (-F.col("best.k")).alias("kind"))
 
 
 def _discover(scanned: DataFrame, rounds: int, support: int, threshold: float) -> DataFrame:
     """(doc_id, text_hash, more): spans that high-confidence patterns add."""
-    token = scanned.where(F.size("tokens") > 0).select("doc_id", "text_hash", "base", "refused", F.explode("tokens").alias("t"))
-    over = lambda spans: F.filter(spans, lambda x: (x["s"] < F.col("t.e")) & (F.col("t.s") < x["e"]))
-    before = F.filter(F.split(F.lower(F.col("t.left")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    words = F.concat_ws(" ", F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), before), -2, 2))
-    seed = F.get(F.transform(over("base"), lambda x: x["k"]), 0)
-    use = token.select("doc_id", "text_hash", F.col("t.s").alias("s"), F.col("t.e").alias("e"), seed.alias("seed"), (F.size(over("refused")) > 0).alias("refused"), F.concat_ws("|", _shape(F.lower(F.col("t.v"))), words).alias("pattern"), F.xxhash64(F.lower(F.col("t.v"))).alias("instance"))
-    use = staged(use, "pii-uses")
-    scores = [f"s{k}" for k in range(len(KINDS))]
-    first = [F.max(F.when(F.col("seed") == k, 1.0).otherwise(0.0)).alias(s) for k, s in enumerate(scores)]
-    links = staged(use.groupBy("pattern", "instance").agg(*first, F.max(F.col("seed").isNotNull()).alias("seeded")), "pii-links")
-    # patterns without a seed never gain confidence but through instances they share; those few stay in
-    confidence = [(F.sum(s) / F.count("*")).alias(f"c{k}") for k, s in enumerate(scores)]
-    for _ in range(rounds):
-        patterns = links.groupBy("pattern").agg(*confidence)
-        noisy = [(1.0 - F.exp(F.sum(F.log(1.0 - F.least(F.lit(0.999), F.col(f"c{k}")))))).alias(f"n{k}") for k in range(len(KINDS))]
-        joined = links.select("pattern", "instance", "seeded", *scores).join(patterns, "pattern")
-        instances = joined.groupBy("instance").agg(*noisy).withColumnRenamed("instance", "i")
-        kept = [F.when(F.col("seeded"), F.col(s)).otherwise(F.col(f"n{k}")).alias(s) for k, s in enumerate(scores)]
-        links = staged(links.join(instances, links.instance == instances.i).select("pattern", "instance", "seeded", *kept), "pii-round")
-    seeds = [F.sum(F.when(F.col("seeded") & (F.col(s) == 1.0), 1).otherwise(0)).alias(f"n{k}") for k, s in enumerate(scores)]
-    final = links.groupBy("pattern").agg(*confidence, *seeds)
-    verdict = F.array_max(F.array(*[F.when((F.col(f"c{k}") >= threshold) & (F.col(f"n{k}") >= support), F.struct(F.col(f"c{k}").alias("c"), F.lit(k).alias("k"))) for k in range(len(KINDS))]))
-    trusted = final.select(F.col("pattern").alias("p"), verdict.alias("best")).where("best is not null").select("p", F.col("best.k").alias("k"))
-    new = use.where(F.col("seed").isNull() & ~F.col("refused")).join(trusted, F.col("pattern") == F.col("p"))
-    return new.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("s", "k", "e"))).cast(SPANS).alias("more"))
+    uses = staged(_uses(scanned), "pii-uses")
+    trusted = trusted_patterns(uses, rounds, support, threshold)
+    new = _split_join(uses.where("k is null"), trusted, "pattern", "text_hash")
+    return new.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("s", F.col("kind").alias("k"), "e"))).cast(SPANS).alias("more"))
 
 
 def _joined(spans: Column) -> Column:
@@ -130,12 +142,13 @@ def find_pii(docs: DataFrame, rounds: int = 3, support: int = 5, threshold: floa
     Returns one row per input row: doc_id, text_hash, n_email, n_ip, n_card, n_phone (base spans),
     base_sha256, spans (all, as kind:start:end) and found (array of s, k, e; k numbers KINDS).
     Offsets are code points, ends exclusive.  Null text is empty: no spans, the digest of the empty
-    string.  Rows with a null id and repeated rows keep their places.  An empty table gives an empty
-    table.  Columns of docs other than id and text are ignored, whatever their names.
+    string.  Rows with a null id and repeated rows keep their places.  Work is linear in a text's length
+    and number of spans.  An empty table gives an empty table.  Columns of docs other than id and text are
+    ignored, whatever their names.
     """
     scanned = staged(_scan(docs, id_col, text_col), "pii-scan")
     more = _discover(scanned, rounds, support, threshold).withColumnsRenamed({"doc_id": "m_id", "text_hash": "m_hash"})
-    rows = scanned.drop("tokens", "refused").join(more, scanned.doc_id.eqNullSafe(F.col("m_id")) & (scanned.text_hash == F.col("m_hash")), "left")
+    rows = scanned.drop("marks").join(more, scanned.doc_id.eqNullSafe(F.col("m_id")) & (scanned.text_hash == F.col("m_hash")), "left")
     every = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPANS))))
     rows = rows.withColumn("found", every)
     counts = [F.size(F.filter("base", _of_kind(k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
@@ -145,20 +158,28 @@ def find_pii(docs: DataFrame, rounds: int = 3, support: int = 5, threshold: floa
 def mask_pii(docs: DataFrame, **settings) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets and n_chars set anew; null text stays null.
 
-    Spans that overlap are replaced together, by the kind of the first.  Columns and row count stay."""
-    spans = find_pii(docs, **settings).select(F.col("doc_id").alias("_pii_id"), F.col("text_hash").alias("_pii_hash"), F.col("found").alias("_pii_found")).where(F.size("_pii_found") > 0).dropDuplicates(["_pii_id", "_pii_hash"])
-    joined = docs.join(spans, docs.doc_id.cast("bigint").eqNullSafe(spans["_pii_id"]) & (F.xxhash64(text_of(docs)) == spans["_pii_hash"]), "left")
-    text = F.col("text")
+    Spans that overlap are replaced together, by the kind of the first.  Columns, whatever their names, and row
+    count stay; repeated rows are masked alike, an empty table stays empty."""
+    key = ["m_id", "m_hash"]
+    got = find_pii(docs, **settings).select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "found")
+    spans = got.where(F.size("found") > 0).dropDuplicates(key).select(*key, F.explode("found").alias("x")).select(*key, "x.*")
+    order = W.partitionBy(*key).orderBy("s", "k", "e").rowsBetween(W.unboundedPreceding, -1)
+    cuts = spans.withColumn("at", F.coalesce(F.max("e").over(order), F.lit(0)))
+    fresh = F.sort_array(F.collect_list(F.when(F.col("s") >= F.col("at"), F.struct("s", "at", "k"))))
+    made = cuts.groupBy(*key).agg(fresh.alias("cuts"), F.max("e").alias("last"))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    text = text_of(docs)
+    keyed = docs.select(docs["doc_id"].cast("bigint").alias("r_id"), F.xxhash64(text).alias("r_hash"), row)
+    joined = keyed.join(made, keyed.r_id.eqNullSafe(made.m_id) & (keyed.r_hash == made.m_hash), "left")
     label = lambda k: F.element_at(F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS]), k + 1)
 
-    def step(acc, x):
-        fresh = x["s"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["e"]).cast("int").alias("at"), F.when(fresh, F.concat(acc["out"], gap, label(x["k"]))).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(F.col("_pii_found"), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.col("_pii_found").isNotNull(), masked).otherwise(text)
-    out = joined.withColumn("_pii_masked", new)
-    cols = [F.col("_pii_masked").alias("text") if c == "text" else F.when(F.col("_pii_found").isNotNull(), F.length("_pii_masked").cast(docs.schema["n_chars"].dataType)).otherwise(docs[c]).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return out.select(*cols)
+    def masked(cut: Column) -> Column:
+        parts = F.transform("cuts", lambda x: F.concat(between(cut, x["at"], x["s"]), label(x["k"])))
+        return F.concat(F.array_join(parts, ""), between(cut, F.col("last"), F.lit(PIECE) * F.size(cut)))
+
+    new = joined.withColumn("masked", F.when(F.col("cuts").isNotNull(), let(pieces(F.col("row.text")), masked)))
+    changed = F.col("masked").isNotNull()
+    values = {"text": F.when(changed, F.col("masked")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(changed, F.length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return new.select(*[values.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
