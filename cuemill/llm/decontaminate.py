@@ -43,7 +43,7 @@ NONE = (1 << 32) - 1
 TILE = 4_000_000
 PIECE = 1 << 16
 #: Words in more than one of so many segments carry no weight; a passage with fewer weighted words than
-#: LEAST_TERMS (or than the poorest item has) cannot come near any item.
+#: LEAST_TERMS cannot come near any section that has so many.
 COMMON = 300
 LEAST_TERMS = 3
 RAREST = 30_000
@@ -393,7 +393,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.4, commo
         counts = _summed(numbered.select("n", "seq").mapInArrow(_frequencies(size), "k int, v binary"), np.int64)
         counts = counts if counts is not None else np.zeros(size + 1, np.int64)
         rare, every = weights(counts[:size], counts[size])
-        rich = [(rare[w.astype(np.int64)] > 0).sum() >= LEAST_TERMS for w in block.words]
+        # LEAST_TERMS weighted words to a passage, so that some of its passages stand out when words are replaced
+        rich = [(rare[w.astype(np.int64)] > 0).sum() >= LEAST_TERMS * max(1, len(w) / (2 * SEGMENT)) for w in block.words]
         for weight, which, terms in ((rare, [k for k, r in enumerate(rich) if r], LEAST_TERMS), (every, [k for k, r in enumerate(rich) if not r], 1)):
             if which:
                 space = latent_space(numbered, weight, rank)

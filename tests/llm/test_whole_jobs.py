@@ -75,3 +75,36 @@ def test_tree_matching_against_its_recurrence():
         a, b = (html.slim_tree(html.parse(f"<body>{tree(4)}")) for _ in range(2))
         score, pairs = html.tree_match(a, b)
         assert score == plain_match(a, b) == len(pairs) and all(x.path == y.path for x, y in pairs)
+
+
+def test_recall_of_rephrased_and_long_items(spark):
+    """Items word for word, with three of ten words replaced, and of up to 20,000 words; other documents share only words."""
+    r = random.Random(12)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(3, 8))) for _ in range(3000)]
+    text = lambda n: " ".join(r.choices(words, k=n))
+    items = [(k, text(r.randint(15, 60))) for k in range(40)] + [(100, text(3000)), (101, text(6000) + ". " + text(9)), (102, text(20_000))]
+    rows, want = [], set()
+    for share in (0, 0.3):
+        for k, t in items:
+            w = t.split()
+            for i in r.sample(range(len(w)), int(share * len(w))):
+                w[i] = r.choice(words)
+            rows.append((len(rows), f"{text(r.randint(0, 90))} {' '.join(w)} {text(r.randint(0, 90))}"))
+            want.add((len(rows) - 1, k))
+    rows += [(1000 + k, text(r.randint(50, 500))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {(g.doc_id, g.item_id) for g in decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and {(n, k) for n, k in want if n < len(items) or k >= 100} <= got
+
+
+def test_items_of_common_words_change_no_other(spark):
+    r = random.Random(13)
+    rare = ["".join(r.choices("klmnop", k=7)) for _ in range(2000)]
+    rows = [(k, " ".join(r.choices(rare, k=30) + ["to be or not to be"])) for k in range(400)]
+    docs = spark.createDataFrame([*rows, (500, "x " + " ".join(rare[:30]) + " y"), (501, "or to to be be or not not to be or to")], "doc_id bigint, text string").repartition(4)
+    find = lambda items: {tuple(g)[:1] + tuple(g)[2:] for g in decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).where("item_id = 1").collect()}
+    item = (1, " ".join(rare[:30]))
+    alone, beside = find([item]), find([item, (2, "or to to be be or not not to be or to")])
+    assert {x[:2] + x[3:] for x in alone} == {x[:2] + x[3:] for x in beside} and {x[0] for x in alone} == {500}
+    both = decontaminate.find_leaks(docs, spark.createDataFrame([item, (2, "or to to be be or not not to be or to")], "item_id bigint, text string")).where("item_id = 2").collect()
+    assert 501 in {g.doc_id for g in both}
