@@ -7,9 +7,10 @@ hence sets are put into size levels (a set also joins the level below when a par
 An empty fragment says nothing, so there are some fragments more, for as many empty ones; a set with
 still more empty ones is cut again by other orders, and in the end by a prefix filter, so no link is
 lost.  Groups of candidates are kept apart by level, so their sets are of
-about one size.  Within a candidate group the overlaps of two blocks of
-sets are counted fragment by fragment and summed per pair; only the number of links and a spanning
-forest leave the task, never the pairs.
+about one size.  A group is cut into blocks of up to ``BLOCK_SETS`` sets; each pair of blocks is a task's work, in which
+the overlaps are counted fragment by fragment and summed per pair.  Only the number of links and a spanning
+forest leave the task, never the pairs.  Counting links takes all pairs of a group, so a group of g
+different sets costs g / BLOCK_SETS copies of each set in the shuffle.
 
 Rows with equal sets are one class from the start, so that copies cost nothing.
 """
@@ -21,18 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import LOWER, mix, staged, sums_by_row, text_of, word_blocks
+from ._core import LOWER, join_split, mix, staged, sums_by_row, text_of, word_blocks
 from ._graph import components
 
 U = np.uint64
 GROWTH = 1.25
 LAYOUTS = 4
 LAYOUT_KEYS = mix(np.arange(1, LAYOUTS + 1, dtype=U))
-BLOCK_SETS = 1024
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SETS = 4096
+BLOCK_SHINGLES = 2_000_000
 LEVEL_BITS = 128
 BUFFER = 4_000_000
-FRAGMENT_TOKENS = 4096
+FRAGMENT_TOKENS = 1024
 
 
 def shingle_sets(column: pa.Array, width: int):
@@ -225,26 +226,48 @@ def _sets(width: int):
     return run
 
 
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Matrix of intersection sizes: partial counts in each fragment of the order, summed per pair."""
-    sizes = [len(s) for s in sets]
-    token, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    shared = np.bincount(column, minlength=len(token)) > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[column]
-    row, column = row[keep], number[column[keep]]
-    by = np.argsort(column, kind="stable")
-    row, column = row[by], column[by]
-    total = np.zeros((len(sets), len(sets)), np.float32)
-    for first in range(0, int(shared.sum()), FRAGMENT_TOKENS):
-        a, b = np.searchsorted(column, (first, first + FRAGMENT_TOKENS))
+def overlaps(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """Matrix of intersection sizes: partial counts in each fragment of the order, summed per pair.
+
+    Its rows are the sets of side 0 and 1, its columns those of side 0 and 2: all pairs of one block, or
+    those between two blocks."""
+    token = np.concatenate(sets)
+    by = np.argsort(token, kind="stable")
+    token = token[by]
+    first = np.ones(len(token), bool)
+    first[1:] = token[1:] != token[:-1]
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[by]
+    shared = ~first
+    shared[:-1] |= ~first[1:]  # a token of one set alone is in no intersection
+    column = (np.cumsum(first[shared]) - 1).astype(np.int32)
+    row = row[shared]
+    down, across = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+    total = np.zeros((len(down), len(across)), np.float32)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, FRAGMENT_TOKENS):
+        a, b = np.searchsorted(column, (start, start + FRAGMENT_TOKENS))
         part = np.zeros((len(sets), FRAGMENT_TOKENS), np.float32)
-        part[row[a:b], column[a:b] - first] = 1
-        total += part @ part.T
+        part[row[a:b], column[a:b] - start] = 1
+        total += part[down] @ part[across].T
     return total
 
 
+def _reached(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Component numbers of the rows and the columns of a matrix of links; same if both are the same sets."""
+    rows, columns = np.full(linked.shape[0], -1), np.full(linked.shape[1], -1)
+    for k in range(len(rows)):
+        if rows[k] >= 0:
+            continue
+        front = np.array([k])
+        rows[k] = k
+        while len(front):
+            met = np.flatnonzero(linked[front].any(0) & (columns < 0))
+            columns[met] = k
+            front = met if same else np.flatnonzero(linked[:, met].any(1) & (rows < 0))
+            front = front[rows[front] < 0]
+            rows[front] = k
+    return rows, columns
+
+
 def _verify(percent: int):
     levels = Levels(percent)
 
@@ -253,22 +276,24 @@ def _verify(percent: int):
         c = np.array([r[0] for r in rows], np.int64)
         w = np.array([r[1] for r in rows], np.int64)
         side = np.array([r[2] for r in rows])
-        n = np.array([len(r[3]) for r in rows], np.float32)
-        got = overlaps([r[3] for r in rows])
-        linked = 100 * got >= percent * (n[:, None] + n[None, :] - got)
-        np.fill_diagonal(linked, False)
-        # a pair counts at the level of its smaller set, though both may meet at the level below too
-        linked &= levels.of(np.minimum(n[:, None], n[None, :])) == level
-        if side.any():
-            linked &= side[:, None] != side[None, :]
-        label = np.arange(len(c))
-        while True:
-            low = np.minimum(label, np.where(linked, label[None, :].astype(np.int32), np.int32(len(c))).min(1, initial=len(c)))
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
-        return c, c[label], linked @ w
+        n = np.array([len(r[3]) for r in rows], np.int64)
+        same = not side.any()
+        down, across = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+        got = overlaps([r[3] for r in rows], side)
+        linked = np.zeros(got.shape, bool)
+        for k, i in enumerate(down):
+            # a pair counts at the level of its smaller set, though both may meet at the level below too
+            at_level = levels.of(np.minimum(n[i], n[across])) == level
+            linked[k] = (100 * got[k] >= percent * (n[i] + n[across] - got[k])) & at_level
+        if same:
+            np.fill_diagonal(linked, False)
+        of_rows, of_columns = _reached(linked, same)
+        met = of_columns >= 0
+        if same:
+            return c, c[of_rows], linked @ w
+        u = np.concatenate((c[down], c[across][met]))
+        v = np.concatenate((c[down][of_rows], c[down][of_columns[met]]))
+        return u, v, np.concatenate((linked @ w[across], (linked.T @ w[down])[met]))
 
     def run(batches):
         key, rows, out = None, [], []
@@ -290,6 +315,8 @@ def _verify(percent: int):
                 if now != key:
                     flush()
                     key, rows = now, []
+                if rows and rows[-1][0] == c[k]:  # a representative that the table has more than once
+                    continue
                 rows.append((c[k], w[k], side[k], values[at[k] : at[k + 1]].copy()))
             if len(out) > 2000:
                 yield pack()
@@ -317,8 +344,9 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     ends = tied.select(F.col("u").alias("c"), "level").unionAll(tied.select(F.col("v").alias("c"), "level")).distinct().withColumn("id", node("c"))
     found = components(tied.select(node("u").alias("u"), node("v").alias("v")), "jaccard-candidates").withColumnRenamed("root", "comp")
     groups = ends.join(found, F.col("id") == F.col("node")).select("c", "level", "comp").join(classes, "c")
+    groups = staged(groups.select("c", "level", "comp", "w", "n", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash")), "jaccard-groups")
     sized = groups.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
-    wanted = groups.join(sized, "comp").select("c", "w", "comp", "level", "nb", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash"))
+    wanted = join_split(groups, sized, "comp").select("c", "w", "comp", "level", "nb", "r_id", "r_hash")
     texts = base.join(wanted, base.doc_id.eqNullSafe(wanted.r_id) & (base.text_hash == wanted.r_hash)).select("c", "w", "comp", "level", "nb", "text")
     one = texts.mapInArrow(_sets(width), "c bigint, w bigint, comp bigint, level int, nb int, s array<bigint>")
     # side: 0 in a block paired with itself, else 1 or 2 by which of the two blocks holds the row
@@ -357,10 +385,32 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without near duplicates: of each group the row with the smallest doc_id stays (ties: smallest text hash).
 
-    Rows without words stay.  Repeated rows of one id and text count as one; a null id comes last."""
+    Rows without words stay, null texts among them.  Repeated rows of one id and text count as one, and the first of
+    them that a task meets stays; a null id comes last.  Columns stay as they are, whatever their names; an empty
+    table stays empty."""
     found = _classes(docs, width, percent, "doc_id", "text")
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best")
     kept = found.where("root is not null").groupBy("root").agg(best).select("best.doc_id", "best.text_hash")
-    kept = kept.unionAll(found.where("root is null").select("doc_id", "text_hash")).select(F.xxhash64("doc_id", "text_hash").alias("_kept_key")).distinct()
-    keyed = docs.withColumn("_row_key", F.xxhash64(docs["doc_id"].cast("bigint"), F.xxhash64(text_of(docs))))
-    return keyed.join(kept, F.col("_row_key") == F.col("_kept_key"), "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
+    kept = kept.unionAll(found.where("root is null").select("doc_id", "text_hash")).distinct()
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    keyed = docs.select(docs["doc_id"].cast("bigint").alias("k_id"), F.xxhash64(text_of(docs)).alias("k_hash"), row)
+    met = keyed.join(kept, keyed.k_id.eqNullSafe(kept.doc_id) & (keyed.k_hash == kept.text_hash), "left_semi")
+    return met.dropDuplicates(["k_id", "k_hash"]).select("row.*")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 90 * (a.n + b.n - shared)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+k AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM d JOIN m ON m.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.x = d.doc_id
+"""

@@ -6,7 +6,7 @@ before it complete the distributed prefix sum.  Every source is cut at its exact
 epochs first, then the documents in key order, the last of them in part.
 
 Only DataFrame functions are used.  No window ever holds more than one range of one source (1/4096
-of it), or one row per range or per source.
+of its distinct ids, or texts where the id is null), or one row per range or per source.
 """
 
 from __future__ import annotations
@@ -50,19 +50,20 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=
     The size of a document is its number of words (null text: 0).  Sources in code-point order, null
     last, get the repeating ``weights`` and share ``share`` times all sizes; a target stops at
     ``most`` times its source's size.  Within a source documents are taken in the order of the md5 of
-    their id (ties by id, then size), in whole epochs and then up to the exact whole number of words
+    their id, or of their text where the id is null (ties by id, size, then text), in whole epochs and then up to the exact whole number of words
     below the target.
 
     Returns doc_id, size, source_size, target, taken and the columns named in ``keep``, one row per
-    input row.  Repeated ids are documents of their own, a null id hashes as the empty string, an
+    input row.  Repeated ids are documents of their own, a null id is placed by its text, an
     empty text takes nothing, an empty table gives an empty table.  The same input gives the same
     output.  Other columns are ignored, whatever their names.
     """
     ident = docs[id_col].cast("bigint")
-    key = F.md5(F.coalesce(ident.cast("string"), F.lit("")).cast("binary"))
-    size = F.regexp_count(text_of(docs, text_col), F.lit(WORD)).cast("bigint")
+    text = text_of(docs, text_col)
+    key = F.md5(F.coalesce(ident.cast("string"), text).cast("binary"))
+    size = F.regexp_count(text, F.lit(WORD)).cast("bigint")
     kept = [docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)]
-    rows = staged(docs.select(ident.alias("doc_id"), source_key(docs[source_col]).alias("s"), key.alias("key"), size.alias("size"), *kept), "mix-rows")
+    rows = staged(docs.select(ident.alias("doc_id"), source_key(docs[source_col]).alias("s"), key.alias("key"), size.alias("size"), F.xxhash64(text).alias("tie"), *kept), "mix-rows")
     rows = rows.withColumn("part", F.substring("key", 1, RANGE_DIGITS))
     parts = rows.groupBy("s", "part").agg(F.sum("size").alias("part_size"))
     sizes = parts.groupBy("s").agg(F.sum("part_size").alias("source_size"))
@@ -72,7 +73,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=
     targets = targets.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     offset = F.sum("part_size").over(W.partitionBy("s").orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("part_size")
     placed = parts.withColumn("offset", offset).join(targets, "s").withColumnsRenamed({"s": "ps", "part": "pp"})
-    order = W.partitionBy("s", "part").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("s", "part").orderBy("key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     summed = rows.withColumn("inside", F.sum("size").over(order) - F.col("size"))
     out = summed.join(placed, (F.col("s") == F.col("ps")) & (F.col("part") == F.col("pp")))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("offset") - F.col("inside")))
@@ -81,7 +82,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights=
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce('s' || source, 'z') AS s, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+  SELECT doc_id, source, coalesce('s' || source, 'z') AS s, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS key,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM {documents}),
 z AS (SELECT s, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY s),

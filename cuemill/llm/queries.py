@@ -57,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.ORACLE_SQL.format(documents="documents"),
+    "op3_ngram_jaccard_join": jaccard.ORACLE_SQL,
     "op4_quality_rules": rules.ORACLE_SQL,
     "op6_substring_dedup": substring.ORACLE_SQL,
 }

@@ -2,8 +2,9 @@
 
 A vocabulary learnt on text spends few tokens on what looks like text and many on random strings.
 A long run of identifier characters whose characters per token fall below a threshold is reported
-as ``random``, unless it is a known digest, an identifier made of words and numbers, or already
-part of a span of a fixed kind.
+as ``random``, unless it is a known digest, an identifier, or already part of a span of a fixed kind.
+Identifiers are UUIDs, numbers and dates (one letter at most), and runs whose words, by themselves and in lower
+case, are as cheap in tokens as text is; whether a run holds digits, letters or both makes no other difference.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +31,9 @@ DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 LEAST = {"assign": 12, "access": 18, "random": 20}
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-WORDS_AND_NUMBERS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[_/=+-]*")
+PARTS = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+#: Characters that are encoded at a time.
+PIECE = 1000
 _encodings: dict[str, object] = {}
 
 
@@ -60,21 +65,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _excluded(run: str) -> bool:
-    if not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
-        return True
-    if len(run) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run):
+def _efficiency(texts: list[str], encode) -> float:
+    """Characters per token of some texts, long ones in pieces."""
+    pieces = [t[k : k + PIECE] for t in texts for k in range(0, len(t), PIECE)]
+    return sum(map(len, pieces)) / max(1, sum(len(encode(p)) for p in pieces))
+
+
+def _excluded(run: str, ratio: float, encode) -> bool:
+    """Whether a run is a known digest or an identifier."""
+    if len(run) in DIGEST_LENGTHS and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run) or UUID.fullmatch(run):
         return True
-    return bool(UUID.fullmatch(run) or WORDS_AND_NUMBERS.fullmatch(run))
+    parts = PARTS.findall(run)
+    return sum(map(len, parts)) < 2 or _efficiency([p.lower() for p in parts], encode) >= ratio
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], ratio: float, encode) -> list[tuple[int, int, int]]:
+    """Spans of the runs outside base (sorted) with fewer than ratio characters per token."""
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))
     out = []
     for m in RUN.finditer(text):
-        run = m.group()
-        if _excluded(run) or any(s < m.end() and m.start() < e for s, _, e in base):
+        before = bisect_left(starts, m.end())
+        if before and reach[before - 1] > m.start():
             continue
-        if len(run) < ratio * len(encode(run)):
+        if _efficiency([m.group()], encode) < ratio and not _excluded(m.group(), ratio, encode):
             out.append((m.start(), 3, m.end()))
     return out
 

@@ -4,9 +4,9 @@ A window is a run of consecutive words.  Each window is represented by its least
 inside it), so equal windows have equal representatives and neighbouring windows share them; that cuts
 what must be counted to about a thirteenth.  Every task adds the representatives of its documents to a
 count-min sketch, sent as its touched cells; the partial sketches are merged chunk by chunk into one
-bit set (estimate two or more) of fixed size, which is all that is broadcast.  A sketch only
-overestimates, so the second pass, which groups exactly the windows with a repeated
-representative, loses none.  When the corpus outgrows the sketch it lets more windows through;
+bit set (estimate two or more), which is all that is broadcast.  Its size follows from the number of bytes of
+text, 256 MB at most.  A sketch only overestimates, so the second pass, which groups exactly the windows with a
+repeated representative, loses none.  When a corpus outgrows the largest sketch, more windows pass;
 the result stays the same.
 
 Before windows are shuffled each task settles what it can by itself: of equal windows in a batch
@@ -28,10 +28,19 @@ from ._stats import _repeats
 
 U = np.uint64
 ROWS = 2
-ROW_BITS = 26
 CHUNK_BITS = 19
 ROW_KEYS = mix(np.arange(1, ROWS + 1, dtype=U))
-N_CHUNKS = ROWS << (ROW_BITS - CHUNK_BITS)
+#: Cells of a row of the sketch as a power of two, at least and at most; and cells for each representative.
+LEAST_BITS, MOST_BITS = 20, 30
+CELLS_EACH = 8
+#: Bytes of a word and the blank after it, about.
+WORD_BYTES = 6
+
+
+def row_bits(n_bytes: int, width: int, gram: int) -> int:
+    """Cells of a row, as a power of two, for so many bytes of text: one representative is had every (width - gram) / 2 words."""
+    expected = n_bytes / WORD_BYTES / max(1, (width - gram) / 2)
+    return int(np.clip(np.ceil(np.log2(max(1, CELLS_EACH * expected))), LEAST_BITS, MOST_BITS))
 
 
 def _least(x: np.ndarray, span: int) -> np.ndarray:
@@ -58,12 +67,14 @@ def windows(words, width: int, gram: int):
     return np.repeat(np.arange(len(count)), count), pos, whole[first], rep[first]
 
 
-def cells(rep: np.ndarray) -> np.ndarray:
+def cells(rep: np.ndarray, bits: int) -> np.ndarray:
     """The cell of each representative in each row of the sketch."""
-    return np.stack([(mix(rep ^ ROW_KEYS[k]) >> U(64 - ROW_BITS)).astype(np.int64) + (k << ROW_BITS) for k in range(ROWS)])
+    return np.stack([(mix(rep ^ ROW_KEYS[k]) >> U(64 - bits)).astype(np.int64) + (k << bits) for k in range(ROWS)])
+
 
+def _sketch(width: int, gram: int, bits: int):
+    n_chunks = ROWS << (bits - CHUNK_BITS)
 
-def _sketch(width: int, gram: int):
     def run(batches):
         for b in batches:
             reps = []
@@ -73,10 +84,10 @@ def _sketch(width: int, gram: int):
                 fresh[1:] = (rep[1:] != rep[:-1]) | (row[1:] != row[:-1])
                 row, rep = row[fresh], rep[fresh]
                 reps.append(rep[~_repeats(rep, row)[1]])
-            every = cells(np.concatenate(reps)) if reps else np.zeros((ROWS, 0), np.int64)
+            every = cells(np.concatenate(reps), bits) if reps else np.zeros((ROWS, 0), np.int64)
             cell, count = np.unique(every.ravel(), return_counts=True)
             chunk = cell >> CHUNK_BITS
-            bounds = np.searchsorted(chunk, np.arange(N_CHUNKS + 1))
+            bounds = np.searchsorted(chunk, np.arange(n_chunks + 1))
             packed = ((cell & ((1 << CHUNK_BITS) - 1)) * 2 + (count > 1)).astype(np.uint32)
             used = np.flatnonzero(np.diff(bounds))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[bounds[k] : bounds[k + 1]].tobytes() for k in used], pa.binary())], ["chunk", "cells"])
@@ -103,31 +114,31 @@ def _merge(batches):
         yield done()
 
 
-def sketch(texts: DataFrame, width: int, gram: int) -> np.ndarray:
-    """The merged sketch as a bit set of ROWS * 2**ROW_BITS bits, 16 MB whatever the input."""
-    parts = texts.mapInArrow(_sketch(width, gram), "chunk int, cells binary")
+def sketch(texts: DataFrame, width: int, gram: int, bits: int) -> np.ndarray:
+    """The merged sketch as a bit set of ROWS * 2**bits bits."""
+    parts = texts.mapInArrow(_sketch(width, gram, bits), "chunk int, cells binary")
     merged = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merge, "chunk int, bits binary")
-    bits = np.zeros((N_CHUNKS, 1 << (CHUNK_BITS - 3)), np.uint8)
+    out = np.zeros((ROWS << (bits - CHUNK_BITS), 1 << (CHUNK_BITS - 3)), np.uint8)
     for r in merged.toLocalIterator():
-        bits[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
-    return bits.ravel()
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
 
 
 _OUT = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 
 
-def _spread(width: int, gram: int, shared):
+def _spread(width: int, gram: int, bits: int, shared):
     def run(batches):
-        bits = shared.value
+        marked = shared.value
         for b in batches:
             ids, keys = (b.column(k).to_numpy() for k in (0, 1))
             found = []
             for lo, _, words in word_blocks(b.column(2)):
                 row, pos, whole, rep = windows(words, width, gram)
-                where = cells(rep)
+                where = cells(rep, bits)
                 hit = np.ones(len(rep), bool)
                 for c in where:
-                    hit &= (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
+                    hit &= (marked[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
                 found.append((row[hit] + lo, pos[hit], whole[hit]))
             if not found:
                 continue
@@ -195,8 +206,9 @@ def remove_repeated(docs: DataFrame, width: int = 50, gram: int | None = None, i
     ident = docs[id_col].cast("bigint")
     rows = docs.select(ident.alias("doc_id"), F.xxhash64(ident, text).alias("key"), text.alias("text"))
     numbered = rows.where("doc_id is not null")
-    shared = spark.sparkContext.broadcast(sketch(numbered.select("text"), width, gram))
-    found = staged(numbered.mapInArrow(_spread(width, gram, shared), "h bigint, doc_id bigint, key bigint, s int, e int"), "substring-windows")
+    bits = row_bits(numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0, width, gram)
+    shared = spark.sparkContext.broadcast(sketch(numbered.select("text"), width, gram, bits))
+    found = staged(numbered.mapInArrow(_spread(width, gram, bits, shared), "h bigint, doc_id bigint, key bigint, s int, e int"), "substring-windows")
     least = F.min("doc_id").over(W.partitionBy("h"))
     later = found.where("h is not null").withColumn("least", least).where("least < doc_id").select("key", "s", "e")
     ranges = found.where("h is null").select("key", "s", "e").unionAll(later).groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))

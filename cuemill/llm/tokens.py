@@ -1,12 +1,13 @@
 """Token counts through a digest cache.
 
 A text is looked up by its SHA-256 and the digest of the tokenizer's file.  Only distinct texts that the
-cache lacks are encoded, and their counts are appended to it.
+cache lacks are encoded, and their counts are appended to it, each run's in a folder of its own, so that runs
+beside one another do no harm.  Digests that many rows share are looked up without a task for each.
 
 Encoding counts tokens per piece of text: byte-level pre-tokenization never joins across the place
 between a character that is no white space and a single blank or newline that another such character
-follows, so a text's count is the sum over its pieces.  Pieces are known by a 64-bit hash, and a worker
-encodes a piece that it has not met.  Texts are cut only where the neighbours are visible ASCII or Latin
+follows, so a text's count is the sum over its pieces.  A worker encodes a piece that it has not met;
+it knows pieces by their bytes.  Texts are cut only where the neighbours are visible ASCII or Latin
 letters, and where a common mark follows an ASCII letter; elsewhere pieces are just longer.
 Should the tokenizer's file call for anything else (a prefix blank, a normalizer), whole texts are encoded.
 """
@@ -17,19 +18,21 @@ import hashlib
 import json
 import os
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._core import blocks, buffers, shared_dir, span_hashes, text_of
+from ._core import blocks, buffers, join_split, lasting_dir, span_hashes, staged, text_of
 
 MEMORY = 1_000_000
 #: Marks that a run of letters ends at in any case; the apostrophe is none, as it starts contractions.
 _MARK = np.isin(np.arange(256), list(b",.!?;:%#$*&"))
 _loaded: dict[str, tuple] = {}
-_known: dict[str, dict[str, int]] = {}
+_known: dict[str, dict[bytes, int]] = {}
 
 
 def default_tokenizer() -> str:
@@ -98,16 +101,15 @@ def counts_of(column: pa.Array, path: str) -> np.ndarray:
     for lo, hi in blocks(offsets):
         part, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         start, end, row = _pieces(part, at)
-        keys, first, inverse = np.unique(span_hashes(part, start, end), return_index=True, return_inverse=True)
-        keys = keys.tolist()
+        _, first, inverse = np.unique(span_hashes(part, start, end), return_index=True, return_inverse=True)
+        data = part.tobytes()
+        keys = [data[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         if len(known) + len(keys) > MEMORY:
             known.clear()
-        new = [i for i, k in enumerate(keys) if k not in known]
-        data = part.tobytes()
+        new = [k for k in keys if k not in known]
         for a in range(0, len(new), 1000):
             some = new[a : a + 1000]
-            texts = [data[start[first[i]] : end[first[i]]].decode() for i in some]
-            known.update(zip([keys[i] for i in some], whole(texts), strict=True))
+            known.update(zip(some, whole([k.decode() for k in some]), strict=True))
         tokens = np.array([known[k] for k in keys], np.int64)
         out[lo:hi] = np.bincount(row, tokens[inverse], hi - lo).astype(np.int64)
     return out
@@ -125,12 +127,27 @@ def tokenizer_version(path: str) -> str:
     return hashlib.sha256(open(path, "rb").read()).hexdigest()
 
 
+SCHEMA = "digest binary, n_tokens bigint"
+
+
+def _cached(spark: SparkSession, folder: str) -> DataFrame:
+    """The cache of one tokenizer, which is made if there is none; digests may stand in it more than once."""
+    try:
+        return spark.read.schema(SCHEMA).parquet(folder)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/run=none", mode="overwrite")
+    return spark.read.schema(SCHEMA).parquet(folder)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache_dir: str | None = None, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of every whole text by a public tokenizer's own library, without special tokens added.
 
     ``tokenizer`` is the path of a .json (tokenizers) or .model (sentencepiece) file.  ``cache_dir``
-    is a Parquet folder of (digest, n_tokens, version) that all executors share; None stands for a
-    fresh one below spark.checkpoint.dir.  The content digested is the text itself, null as empty.
+    is a folder that all executors share, with a Parquet table of (digest, n_tokens) for each tokenizer; None
+    stands for the one that lasts below spark.checkpoint.dir.  The content digested is the text itself, null as
+    empty.  A run on texts that the cache has encodes nothing and shuffles no text.
 
     Returns doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit), one row per input
     row.  Repeated rows and null ids stay, an empty text has 0 tokens, an empty table gives an empty
@@ -138,20 +155,15 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache_dir: str |
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or default_tokenizer()
-    version = tokenizer_version(tokenizer)
-    schema = "digest binary, n_tokens bigint, version string"
+    folder = f"{(cache_dir or lasting_dir(spark, 'token-cache')).rstrip('/')}/{tokenizer_version(tokenizer)}"
     text = text_of(docs, text_col)
     digest = F.unhex(F.sha2(text.cast("binary"), 256))
-    contents = docs.select(digest.alias("digest"), text.alias("text"))
-    if cache_dir is None:
-        cache_dir = shared_dir(spark, "token-cache")
-        spark.createDataFrame([], schema).write.mode("append").parquet(cache_dir)
-    else:
-        spark.createDataFrame([], schema).write.mode("append").parquet(cache_dir)
-        cached = spark.read.schema(schema).parquet(cache_dir).where(F.col("version") == version).select("digest").distinct()
-        contents = contents.join(cached, "digest", "left_anti")
-    misses = contents.groupBy("digest").agg(F.first("text").alias("text"))
-    misses.mapInArrow(_encode(tokenizer), "digest binary, n_tokens bigint").withColumn("version", F.lit(version)).write.mode("append").parquet(cache_dir)
-    counts = spark.read.schema(schema).parquet(cache_dir).where(F.col("version") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     rows = docs.select(docs[id_col].cast("bigint").alias("doc_id"), digest.alias("digest"), F.octet_length(text).cast("bigint").alias("n_bytes"))
-    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rows = staged(rows, "token-rows")
+    missing = staged(rows.select("digest").distinct().join(_cached(spark, folder).select("digest"), "digest", "left_anti"), "token-misses")
+    if not missing.isEmpty():
+        contents = docs.select(digest.alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+        made = contents.join(missing, "digest", "left_semi").mapInArrow(_encode(tokenizer), SCHEMA)
+        made.write.parquet(f"{folder}/run={uuid.uuid4().hex}")
+    counts = _cached(spark, folder).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    return join_split(rows, counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -86,6 +86,53 @@ def test_jaccard(docs, width, percent):
     assert got == want
 
 
+def test_repeated_representatives_and_small_blocks(spark, monkeypatch):
+    near_base = near(BASE, 1, 40)
+    rows = spark.createDataFrame([(1, BASE), (1, BASE), (2, near_base)], "doc_id bigint, text string")
+    assert [r.n_links for r in jaccard.jaccard_classes(rows, 3, 90).collect()] == [2, 2, 2]
+    many = [(k, near(BASE, k % 12, 100 + k)) for k in range(80)] + [(200, near(BASE, 3, 7))] * 2
+    sets = [frozenset(tuple(words(lower(t))[k : k + 3]) for k in range(len(words(t)) - 2)) for _, t in many]
+    want = sorted((many[a][0], sum(a != b and 100 * len(x & y) >= 80 * len(x | y) for b, y in enumerate(sets))) for a, x in enumerate(sets))
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+    got = jaccard.jaccard_classes(spark.createDataFrame(many, "doc_id bigint, text string").repartition(3), 3, 80).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == want
+
+
+def test_columns_of_any_name_stay(spark):
+    bench = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")
+    rows = [(1, BASE, "a", 1, 2, 3, 4), (2, BASE, "b", 1, 2, 3, 4), (3, PASSAGE, "c", 1, 2, 3, 4), (4, "mail a@b.example now", "d", 1, 2, 3, 4), (None, None, "e", 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _row_key string, k_id int, k_hash int, root int, row int")
+    one = jaccard.keep_one(df)
+    assert one.columns == df.columns and sorted(r._row_key for r in one.collect()) == ["a", "c", "d", "e"]
+    clean = decontaminate.drop_leaks(df, bench)
+    assert clean.columns == df.columns and sorted(r._row_key for r in clean.collect()) == ["a", "b", "d", "e"]
+    masked = pii.mask_pii(df)
+    assert masked.columns == df.columns and {r._row_key: r.text for r in masked.collect()}["d"] == "mail [EMAIL] now"
+    assert [x.limit(0).count() for x in (one, clean, masked)] == [0, 0, 0] and jaccard.keep_one(df.limit(0)).count() == 0
+
+
+def test_words_of_mirrored_structure_differ():
+    """Long words whose polynomial sums modulo 2^64 agree for every base."""
+    from cuemill.llm._core import runs, span_hashes
+
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    raw = np.frombuffer((word + word.translate(str.maketrans("ab", "ba"))).encode(), np.uint8)
+    for n in (16, 64, 1024, 4096):
+        start = np.array([0, 4096])
+        assert len(set(span_hashes(raw, start, start + n).tolist())) == 2
+    h = span_hashes(raw, np.arange(8192), np.arange(8192) + 1)
+    for n in (50, 1024, 4096):
+        assert runs(h, n)[0] != runs(h, n)[4096]
+    k = np.arange(1000, dtype=np.uint64)
+    for n in (1, 2, 3, 25, 50):
+        got = runs(k, n)
+        assert len(got) == 1000 - n + 1 and len(set(got.tolist())) == len(got)
+        assert (runs(np.tile(k, 2), n)[:5] == runs(np.tile(k, 2), n)[1000:1005]).all()
+    assert len(runs(k[:3], 7)) == 0
+
+
 def test_signatures_lose_no_pair():
     r = np.random.Generator(np.random.PCG64(4))
     for percent in (60, 80, 90):
@@ -157,6 +204,8 @@ def test_rules(docs, none):
     assert sorted((tuple(r)[:7] for r in got), key=str) == sorted(want, key=str)
     kept = {r.doc_id: r.kept for r in got}
     assert kept[1] and not kept[26] and not any(r.kept and r.base_failed for r in got)
+    own = rules.apply_rules(docs, rules=[rules.Rule("mine", lambda w, b: b["n_words"] > 100)]).collect()
+    assert all(r.kept == (not r.base_failed and r.n_words <= 100) for r in own) and {r.kept for r in own} == {True, False}
     few = rules.apply_rules(docs, rules=rules.RULES[::-1], sample_rows=1).collect()
     assert sorted(map(str, few)) == sorted(map(str, got)) and rules.apply_rules(none).count() == 0
 
@@ -305,6 +354,39 @@ def test_secrets(docs, none):
     assert got[6].spans == "" and got[18].spans == "" and got[6].base_sha256 == hashlib.sha256(b"").hexdigest() and secrets.find_secrets(none).count() == 0
 
 
+def test_random_strings_are_found_whatever_they_are_made_of():
+    import string
+
+    encode = secrets._encoding(secrets.default_vocabulary()).encode_ordinary
+    r = random.Random(4)
+    alphabets = (string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/")
+    planted = ["".join(r.choices(a, k=r.choice((24, 32, 40, 64, 5000)))) for a in alphabets for _ in range(40)]
+    got = [secrets.random_spans(f"key {p} end", [], 2.2, encode) for p in planted]
+    assert sum(x == [(4, 3, 4 + len(p))] for x, p in zip(got, planted, strict=True)) >= 0.98 * len(planted)
+    clean = ["file_name_2024_01_report", "getElementsByClassName", "MAX_BUFFER_SIZE_IN_BYTES", "ORDER-2024-0001-ABC-17", "2024-01-31T12-30-59-000", "12345678901234567890123", "d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "-" * 30, "A" * 30, "Donaudampfschifffahrtsgesellschaft", "com/google/android/gms/ads/internal"]
+    assert not [c for c in clean if secrets.random_spans(c, [], 2.2, encode)]
+
+
+def plain_secrets(t):
+    """Base spans by the plain patterns of the contract, one search after another."""
+    out = []
+    either = lambda word: "".join(f"[{c}{c.upper()}]" for c in word)
+    names = "|".join(map(either, ("password", "passwd", "secret", "token", "apikey"))) + f"|{either('api')}_{either('key')}"
+    for n, (kind, pattern, group, least) in enumerate((("assign", rf"(?:{names})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))):
+        out += [(m.start(), n, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, t) if len(m.group(group)) >= least]
+    return [x[2] for x in sorted(out)]
+
+
+def test_secrets_against_plain_patterns(spark):
+    r = random.Random(7)
+    parts = ["password", "PassWD", "secret", "toKen", "apikey", "API_KEY", "api-key", "=", ":", " ", "  ", "'", '"', "abcdef123456", "short", "0123456789abcdef", "AKIA", "AKIAABCDEFGHIJKLMN", "é", "ſecret", "K", "\n", "x" * 13]
+    texts = [(k, "".join(r.choices(parts, k=r.randint(0, 12)))) for k in range(3000)]
+    for row in secrets.find_secrets(spark.createDataFrame(texts, "doc_id bigint, text string")).collect():
+        want = plain_secrets(texts[row.doc_id][1])
+        assert row.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[row.doc_id]
+        assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
+
+
 def test_tokens(docs, none, tmp_path):
     from tokenizers import Tokenizer
 
@@ -314,7 +396,17 @@ def test_tokens(docs, none, tmp_path):
     cache = str(tmp_path / "cache")
     for _ in range(2):
         assert sorted((str(r.doc_id), *tuple(r)[1:]) for r in tokens.count_tokens(docs, cache_dir=cache).collect()) == want
-    assert docs.sparkSession.read.parquet(cache).count() == len({t or "" for _, t in TEXTS}) and tokens.count_tokens(none).count() == 0
+    stored = docs.sparkSession.read.parquet(f"{cache}/{tokens.tokenizer_version(tokens.default_tokenizer())}")
+    assert stored.count() == len({t or "" for _, t in TEXTS}) and tokens.count_tokens(none).count() == 0
+
+
+def test_cached_texts_are_not_encoded(docs, tmp_path, monkeypatch):
+    cache = str(tmp_path / "cache")
+    first = sorted(map(str, tokens.count_tokens(docs, cache_dir=cache).collect()))
+    monkeypatch.setattr(tokens, "_encode", lambda path: 1 / 0)
+    assert sorted(map(str, tokens.count_tokens(docs, cache_dir=cache).collect())) == first
+    with pytest.raises(ZeroDivisionError):
+        tokens.count_tokens(docs.withColumn("text", F.lit("never seen")), cache_dir=cache)
 
 
 def test_token_pieces_are_exact():
