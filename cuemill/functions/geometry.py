@@ -63,6 +63,35 @@ def in_excluded_region(cx: Column, cy: Column, p) -> Column:
     return out
 
 
+def envelope(x: Column, y: Column, w: Column, h: Column) -> list[Column]:
+    """Aggregates x0, x1, y0, y1: the box around some boxes."""
+    return [F.min(x).alias("x0"), F.max(x + w).alias("x1"), F.min(y).alias("y0"), F.max(y + h).alias("y1")]
+
+
+def center(x0: Column, x1: Column, y0: Column, y1: Column) -> tuple[Column, Column]:
+    """Middle of a box, within 0…1; null without a box."""
+    return clamp((x0 + x1) / 2), clamp((y0 + y1) / 2)
+
+
+def anchor(x0: Column, x1: Column, y0: Column, y1: Column, rtl: bool = False) -> tuple[Column, Column]:
+    """Where a text begins: the middle of a box's left edge, or of its right edge."""
+    return clamp(x1 if rtl else x0), clamp((y0 + y1) / 2)
+
+
+def font_height(h: Column) -> Column:
+    return clamp(h)
+
+
+def encode_number(v: Column) -> Column:
+    """A position or height as an attribute's value: six decimals."""
+    return F.when(v.isNotNull(), F.format_string("%.6f", v))
+
+
+def decode_number(attributes: Column, key: str) -> Column:
+    """The value of an attribute as a number; null if it is absent or none."""
+    return attribute(attributes, key).try_cast("double")
+
+
 def tall_enough(h: Column, screen: int, p) -> Column:
     return h * screen >= F.lit(p.min_text_height).cast("float").cast("double") * screen
 

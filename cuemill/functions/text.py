@@ -72,30 +72,38 @@ def decode_entities(c: Column) -> Column:
     return F.when(c.startswith("<![CDATA[") & c.endswith("]]>"), inner).otherwise(out)
 
 
-PAIRS = "array<struct<k:int,v:string>>"
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _last_wins(pairs: Column) -> Column:
-    """Pairs without those whose key comes again later."""
-    numbered = F.transform(pairs, lambda x, i: F.struct(i.alias("i"), x["k"].alias("k"), x["v"].alias("v")))
-    kept = F.filter(numbered, lambda x: ~F.exists(numbered, lambda y: (y["k"] == x["k"]) & (y["i"] > x["i"])))
-    return F.transform(kept, lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))
+    """Pairs by key; of those with one key the last."""
+    numbered = F.transform(pairs, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v")))
+    kept = lambda got: F.filter(got, lambda x, i: F.coalesce(F.get(got, i + 1)["k"] != x["k"], F.lit(True)))
+    return F.transform(let(F.array_sort(numbered), kept), lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v")))
 
 
 def _extract(c: Column, pattern: str, value) -> Column:
-    keys = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    values = F.regexp_extract_all(c, F.lit(pattern), F.lit(2))
-    return _last_wins(F.zip_with(keys, values, lambda k, v: F.struct(k.cast("int").alias("k"), value(v).alias("v"))))
+    """Key and value of each match; the whole matches are found once, and each is taken apart by itself."""
+    whole = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    pair = lambda m: F.struct(F.regexp_extract(m, pattern, 1).cast("int").alias("k"), value(F.regexp_extract(m, pattern, 2)).alias("v"))
+    return _last_wins(F.transform(whole, pair))
+
+
+# The formats of an item and of a numbered line.
+ITEM = r'<item\s+index="(\d+)">([\s\S]*?)</item>'
+NUMBERED = r"(?m)^\s*(\d+)\s*[:\-]\s*(.+)$"
 
 
 def parse_items(c: Column) -> Column:
-    """Index and text of <item index="n">…</item> elements; a later one of an index wins."""
-    return _extract(c, r'<item\s+index="(\d+)">([\s\S]*?)</item>', lambda v: trim_all(decode_entities(v)))
+    """Index and text of <item index="n">…</item> elements by index; a later one of an index wins."""
+    return _extract(c, ITEM, lambda v: trim_all(decode_entities(v)))
 
 
 def parse_numbered(c: Column) -> Column:
     """Index and text of lines such as "0: text" or "1 - text"."""
-    return _extract(c, r"(?m)^\s*(\d+)\s*[:\-]\s*(.+)$", trim_all)
+    return _extract(c, NUMBERED, trim_all)
 
 
 def strip_fence(c: Column) -> Column:
@@ -107,10 +115,19 @@ def strip_fence(c: Column) -> Column:
 
 
 def parse_response(c: Column) -> Column:
-    """Items, else numbered lines, else null, as an array of (k, v)."""
-    t = strip_fence(c)
-    items, lines = parse_items(t), parse_numbered(t)
-    return F.when(F.size(items) > 0, items).when(F.size(lines) > 0, lines)
+    """Items, else numbered lines, else null, as an array of (k, v).  Lines are looked for only where there are no items."""
+
+    def parse(t):
+        lines = let(parse_numbered(t), lambda x: F.when(F.size(x) > 0, x))
+        return let(parse_items(t), lambda x: F.when(F.size(x) > 0, x).otherwise(lines))
+
+    return let(strip_fence(c), parse)
+
+
+def parse_response_strictly(c: Column) -> Column:
+    """parse_response, with an error for a reply that holds neither items nor numbered lines."""
+    fail = F.raise_error(F.lit("the reply holds neither items nor numbered lines"))
+    return let(parse_response(c), lambda got: F.when(got.isNotNull(), got).otherwise(fail))
 
 
 def strip_number(c: Column) -> Column:

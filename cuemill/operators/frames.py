@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from itertools import groupby
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..functions.distance import similar
+from ..plans.settings import FrameProfile
 from ._groups import stream_groups
 
 
@@ -55,20 +57,45 @@ def join_texts(observations: DataFrame, key: str = "media_id", frame: str = "fra
     return observations.groupBy(key, frame).agg(F.array_join(F.transform(rows, lambda x: x[text]), "\\N").alias("text")).where("text <> ''")
 
 
-TRACK_SCHEMA = "media_id bigint, first_frame bigint, end_frame bigint, born bigint, text string, x double, y double"
+def keep_observations(observations: DataFrame, screen_height: float, p: FrameProfile) -> DataFrame:
+    """Observations (text, x, y, w, h and, if known, skew) that a profile keeps; all of them if it filters nothing."""
+    if not p.filter_regions:
+        return observations
+    x, y, w, h = (F.col(c) for c in "xywh")
+    keep = G.tall_enough(h, screen_height, p) & G.wide_enough(w, h) & ~G.in_excluded_region(x + w / 2, y + h / 2, p)
+    if "skew" in observations.columns:
+        keep = keep & G.straight(F.col("skew"), p.most_skew)
+    return observations.where(keep)
+
+
+def positioned_texts(observations: DataFrame, screen_height: float, p: FrameProfile, rtl: bool = False) -> DataFrame:
+    """One row an observation kept: media_id, frame, text as displayed, its anchor (x, y) and font_height."""
+    kept = keep_observations(observations, screen_height, p)
+    x, y, w, h = (F.col(c) for c in "xywh")
+    anchor_x, anchor_y = G.anchor(x, x + w, y, y + h, rtl)
+    text = G.display_text(F.col("text"), w, h, p)
+    return kept.select("media_id", "frame", text.alias("text"), anchor_x.alias("x"), anchor_y.alias("y"), G.font_height(h).alias("font_height"))
+
+
+def frame_texts(observations: DataFrame, screen_height: float, p: FrameProfile, positioned: bool = False, rtl: bool = False, order: str = "seq") -> DataFrame:
+    """Texts of frames: one an observation with its place, or one a frame, joined and without place.
 
+    Raw observations are what is stored; this is applied when they are read, so that a changed profile needs no new recognition."""
+    if positioned:
+        return positioned_texts(observations, screen_height, p, rtl)
+    kept = keep_observations(observations, screen_height, p)
+    shown = kept.select("media_id", "frame", order, G.display_text(F.col("text"), F.col("w"), F.col("h"), p).alias("text"))
+    none = F.lit(None).cast("double")
+    return join_texts(shown, order=order).select("media_id", "frame", "text", none.alias("x"), none.alias("y"), none.alias("font_height"))
 
-def _ratio(a: str, b: str) -> float:
-    if a == b:
-        return 0.0
-    if not a or not b:
-        return 1.0
-    row = list(range(len(b) + 1))
-    for i, ca in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, cb in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (ca != cb))
-    return row[-1] / max(len(a), len(b))
+
+def rederive(records: DataFrame, frame_count: int, screen_height: float, p: FrameProfile, positioned: bool = False) -> DataFrame:
+    """Frame texts of stored records (media_id, index, observations) below frame_count, by the profile of today."""
+    rows = records.where(F.col("index") < frame_count).select("media_id", F.col("index").alias("frame"), F.posexplode("observations").alias("seq", "o"))
+    return frame_texts(rows.select("media_id", "frame", "seq", "o.*"), screen_height, p, positioned)
+
+
+TRACK_SCHEMA = "media_id bigint, first_frame bigint, end_frame bigint, born bigint, text string, x double, y double"
 
 
 def _gap(t, x, y) -> float | None:
@@ -82,7 +109,6 @@ def _gap(t, x, y) -> float | None:
 
 def track_island(rows: list[tuple], below: float = 0.2) -> list[tuple]:
     """Tracks of one run of consecutive frames with items; rows are (media_id, island, frame, text, x, y) by frame."""
-    limit = np.float32(below)
     open_tracks, done, born = [], [], 0
     for frame, items in groupby(rows, key=lambda r: r[2]):
         taken: set[int] = set()
@@ -94,7 +120,7 @@ def track_island(rows: list[tuple], below: float = 0.2) -> list[tuple]:
                 if k in taken or t["end"] != frame:
                     continue
                 gap = _gap(t, x, y)
-                if gap is not None and (best is None or gap < best[0]) and np.float32(_ratio(t["text"], text)) < limit:
+                if gap is not None and (best is None or gap < best[0]) and similar(t["text"], text, below):
                     best = (gap, k)
             if best:
                 open_tracks[best[1]]["end"] = frame + 1

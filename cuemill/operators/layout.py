@@ -19,6 +19,11 @@ def timeline(dialogue: DataFrame, overlay: DataFrame, key: str = "media_id") ->
     return both.withColumn("number", F.row_number().over(W.partitionBy(key).orderBy("start_ms", "rank", "seq")).cast("bigint"))
 
 
+def merged(dialogue: DataFrame, overlay: DataFrame, key: str = "media_id") -> DataFrame:
+    """The merged timeline, numbered anew; it is computed on every run, as it costs less than a look at its parts."""
+    return timeline(dialogue, overlay, key).drop("rank")
+
+
 def overlapping(left: DataFrame, right: DataFrame, key: str = "media_id", bucket_ms: int | None = None) -> DataFrame:
     """Rows of left that any row of right of the same key overlaps: half-open, strict.
 
@@ -87,6 +92,15 @@ def place(cues: DataFrame, width: int, height: int, positions: bool = True, rtl:
 ASS_HEAD = "[Script Info]\nScriptType: v4.00+\nPlayResX: {w}\nPlayResY: {h}\n\n[V4+ Styles]\nFormat: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding\nStyle: TopOCR,Arial,48,&H00FFFFFF,&H000000FF,&H00000000,&H64000000,0,0,0,0,100,100,0,0,1,2,1,8,40,40,40,1\nStyle: BottomDialogue,Arial,54,&H00FFFFFF,&H000000FF,&H00000000,&H64000000,0,0,0,0,100,100,0,0,1,2,1,2,40,40,40,1\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
 
 
+def with_play_size(document, width: int, height: int):
+    """A document's text with the size of the screen named after its script type; as it is if it names one, or no script type."""
+    anchor = "ScriptType: v4.00+"
+    head = F.substring_index(document, anchor, 1)
+    rest = F.substr(document, F.length(head) + len(anchor) + 1)
+    added = F.concat(head, F.lit(f"{anchor}\nPlayResX: {width}\nPlayResY: {height}\n"), rest)
+    return F.when(F.contains(document, F.lit("PlayResX:")) | ~F.contains(document, F.lit(anchor)), document).otherwise(added)
+
+
 def ass_time(ms):
     part = lambda unit, size, width: F.lpad(F.floor(ms / unit % size).cast("string"), width, "0")
     return F.concat(F.floor(ms / 3_600_000).cast("string"), F.lit(":"), part(60_000, 60, 2), F.lit(":"), part(1000, 60, 2), F.lit("."), part(10, 100, 2))

@@ -1,7 +1,7 @@
 """Segmentation: walk the rows of a key in order and cut where a predicate over the segment's state holds.
 
-Folds run in the JVM over a sorted array per key.  A hard cut that needs no state (a pause) is made
-first by a window, so that arrays stay short and one long media item spreads over many tasks.
+Rows stream through sorted partitions with one state at a time, so a group may have any length.  A hard cut that
+needs no state (a pause) is made first by a window, so that one long media item spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import edit_distance, to_breaks, wrap
+from ..functions.distance import similar
+from ..functions.text import to_breaks, wrap
 from ..plans.settings import PhraseLimits
+from ._groups import stream_parts
 
 
 def pause_islands(cues: DataFrame, pause_ms: int, key: str = "media_id", order: str = "seq") -> DataFrame:
@@ -21,42 +23,21 @@ def pause_islands(cues: DataFrame, pause_ms: int, key: str = "media_id", order:
     return cues.withColumn("island", 1 + F.sum(F.coalesce(cut, F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
-def _fold(rows: DataFrame, keys: list[str], order: str, fields: list[str], first, step, cut) -> DataFrame:
-    """rows with part: the number of the segment inside keys.  State is a struct; step(state, row) continues it, cut(state, row) ends it before row."""
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *fields))).alias("_rows"))
-    head = F.get("_rows", F.lit(0))
-    zero = F.struct(first(head).alias("s"), F.lit(0).alias("part"), F.lit(True).alias("fresh"), F.array().cast("array<int>").alias("out"))
-
-    def merge(acc, x):
-        ends = ~acc["fresh"] & cut(acc["s"], x)
-        part = acc["part"] + ends.cast("int")
-        state = F.when(ends | acc["fresh"], first(x)).otherwise(step(acc["s"], x))
-        return F.struct(state.alias("s"), part.alias("part"), F.lit(False).alias("fresh"), F.concat(acc["out"], F.array(part)).alias("out"))
-
-    parts = F.aggregate("_rows", zero, merge, lambda acc: acc["out"])
-    zipped = packed.select(*keys, F.explode(F.arrays_zip(F.col("_rows").alias("r"), parts.alias("part"))).alias("z"))
-    return zipped.select(*keys, F.col("z.r._o").alias(order), *[F.col(f"z.r.{f}").alias(f) for f in fields], F.col("z.part").alias("part"))
-
-
 def phrases(words: DataFrame, limits: PhraseLimits = PhraseLimits(), key: str = "media_id") -> DataFrame:
     """Merge word cues (key, seq, start_ms, end_ms, text) into phrases.
 
     A phrase ends before a word after a pause, or that would make it too long in time or characters;
     its first word always stays.  Returns key, phrase (from 1), start_ms, end_ms (of the last word),
     n_words, plain_text (wrapped) and raw_text (with break marks)."""
-    sep = len(limits.separator)
-    rows = pause_islands(words, limits.pause_ms, key)
-
-    def first(x):
-        return F.struct(x["start_ms"].alias("start"), F.length(x["text"]).alias("n"))
-
-    def step(s, x):
-        return F.struct(s["start"].alias("start"), (s["n"] + sep + F.length(x["text"])).alias("n"))
-
-    def cut(s, x):
-        return (s["n"] + sep + F.length(x["text"]) > limits.most_chars) | (x["end_ms"] - s["start"] > limits.most_ms)
-
-    got = _fold(rows, [key, "island"], "seq", ["start_ms", "end_ms", "text"], first, step, cut)
+    sep, most_chars, most_ms = len(limits.separator), limits.most_chars, limits.most_ms
+    rows = pause_islands(words, limits.pause_ms, key).select(key, "island", "seq", "start_ms", "end_ms", "text")
+    size = lambda r: len(r[5] or "")
+    got = stream_parts(
+        rows, [key, "island"], ["seq"],
+        first=lambda r: (r[3], size(r)),
+        step=lambda s, r: (s[0], s[1] + sep + size(r)),
+        cut=lambda s, r: s[1] + sep + size(r) > most_chars or r[4] - s[0] > most_ms,
+    )
     seg = got.groupBy(key, "island", "part").agg(
         F.min_by("start_ms", "seq").alias("start_ms"),
         F.max_by("end_ms", "seq").alias("end_ms"),
@@ -69,36 +50,33 @@ def phrases(words: DataFrame, limits: PhraseLimits = PhraseLimits(), key: str =
 
 
 def collapse_similar(rows: DataFrame, below: float = 0.2, key: str = "media_id", order: str = "seq", text: str = "text") -> DataFrame:
-    """rows with anchor_seq and anchor_text: a text whose edit distance to the last anchor is below the threshold takes it over.
-
-    Lengths that differ too much for that settle it without the distance."""
-    limit = F.lit(below).cast("float")
-
-    def far(a, b):
-        apart = (F.abs(F.length(a) - F.length(b)) / F.greatest(F.length(a), F.length(b), F.lit(1))).cast("float")
-        return F.when(apart >= limit, a != b).otherwise(~(edit_distance(a, b) < limit))
-
-    got = _fold(
-        rows.select(key, order, F.col(text).alias("text")), [key], order, ["text"],
-        first=lambda x: F.struct(x["text"].alias("t")),
-        step=lambda s, x: s,
-        cut=lambda s, x: far(s["t"], x["text"]),
+    """rows with anchor_seq and anchor_text: a text whose edit distance to the last anchor is below the threshold takes it over."""
+    got = stream_parts(
+        rows.select(key, order, F.col(text).alias("text")), [key], [order],
+        first=lambda r: r[2] or "",
+        step=lambda s, r: s,
+        cut=lambda s, r: not similar(s, r[2] or "", below),
     )
     head = F.first(F.struct(order, "text")).over(W.partitionBy(key, "part").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     return got.withColumn("_h", head).select(key, order, "text", F.col(f"_h.{order}").alias("anchor_seq"), F.col("_h.text").alias("anchor_text"))
 
 
 def pack_batches(items: DataFrame, most_items: int = 200, most_chars: int = 200_000, key: str = "media_id", order: str = "seq", cost: str = "cost") -> DataFrame:
-    """items with batch (from 0): a batch is closed when it is full, or when the next item would make it too large."""
-    got = _fold(
-        items, [key], order, [cost],
-        first=lambda x: F.struct(F.lit(1).alias("n"), x[cost].cast("bigint").alias("sum")),
-        step=lambda s, x: F.struct((s["n"] + 1).alias("n"), (s["sum"] + x[cost]).alias("sum")),
-        cut=lambda s, x: (s["n"] >= most_items) | (s["sum"] + x[cost] > most_chars),
+    """items (key, order, cost) with batch (from 0): a batch is closed when it is full, or when the next item would make it too large."""
+    got = stream_parts(
+        items.select(key, order, cost), [key], [order],
+        first=lambda r: (1, r[2]),
+        step=lambda s, r: (s[0] + 1, s[1] + r[2]),
+        cut=lambda s, r: s[0] >= most_items or s[1] + r[2] > most_chars,
     )
     return got.withColumnRenamed("part", "batch")
 
 
+def fixed_batches(items: DataFrame, size: int = 50, index: str = "seq") -> DataFrame:
+    """items with batch: strides of size along an index that counts from 0."""
+    return items.withColumn("batch", F.floor(F.col(index) / size).cast("bigint"))
+
+
 def request_cost(text: Column, before: Column, after: Column, limit: int = 4000) -> Column:
     return F.least(F.length(text), F.lit(limit)) + F.length(F.array_join(before, "\n")) + F.length(F.array_join(after, "\n")) + 128
 

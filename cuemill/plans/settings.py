@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, replace
 
+from ..functions.text import locale_limits
+
 
 @dataclass(frozen=True)
 class FrameProfile:
@@ -51,3 +54,17 @@ class PhraseLimits:
     most_chars: int = 52
     line_chars: int = 36
     separator: str = " "
+
+    @classmethod
+    def for_locale(cls, locale: str, **others) -> PhraseLimits:
+        """Limits of a language: characters a line and a cue, and what stands between words."""
+        line, cue, separator = locale_limits(locale)
+        return cls(most_chars=cue, line_chars=line, separator=separator, **others)
+
+
+def setting(name: str, given: str | None = None, env: dict[str, str] | None = None, variable: str | None = None, default: str | None = None, needed: bool = False) -> str | None:
+    """What was given, else a non-empty variable of the environment, else the default; an error if it is needed and absent."""
+    found = given if given is not None else ((os.environ if env is None else env).get(variable or "") or default)
+    if needed and not found:
+        raise ValueError(f"{name} is needed; give it or set {variable}")
+    return found

@@ -36,43 +36,109 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return contiguous_prefix(rows.withColumn("written", F.struct("t", "written"))).drop("t", "written")
 
 
+STAGES = {"speech": ("locale",), "frames": ("locale", "fps"), "texts": ("locale", "fps", "profile", "layout"), "merge": ("speech", "texts", "locale")}
+
+
+def key_of(stage: str, **parts) -> str:
+    """Key of a stage from the settings that its result depends on."""
+    return stage_key(stage, *[parts[p] for p in STAGES[stage]])
+
+
+def fingerprint(spark: SparkSession, path: str) -> dict:
+    """Path, size and time of change (seconds) of an input file, by Spark's file reader."""
+    row = spark.read.format("binaryFile").load(path).select("path", "length", F.unix_micros("modificationTime").alias("t")).first()
+    return {"path": row["path"], "size": row["length"], "modified": row["t"] / 1e6}
+
+
+def workspace(root: str, mark: dict) -> str:
+    """Folder of an input below a root, by its fingerprint."""
+    return f"{root.rstrip('/')}/{stage_key(mark['path'], mark['size'], mark['modified'])}"
+
+
+def to_iso(t: Column) -> Column:
+    """A timestamp as ISO 8601 in UTC, to the second."""
+    return F.date_format(F.to_utc_timestamp(t, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def from_iso(c: Column) -> Column:
+    return F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ssX"))
+
+
 class StageStore:
-    """Stages of one input below a folder: reuse when key and state agree, else compute and write."""
+    """Stages of one input below a folder: reuse when input, key and state agree and the artifact is there, else compute and write.
+
+    mark is the input's fingerprint; a manifest of another input, or one that cannot be read, counts as none."""
 
-    def __init__(self, spark: SparkSession, root: str, resume: bool = True):
-        self.spark, self.root, self.resume = spark, root.rstrip("/"), resume
+    def __init__(self, spark: SparkSession, root: str, resume: bool = True, mark: dict | None = None):
+        self.spark, self.root, self.resume, self.input = spark, root.rstrip("/"), resume, mark
 
     def _path(self, stage: str, what: str) -> str:
         return f"{self.root}/{stage}.{what}"
 
-    def mark(self, stage: str, state: str, key: str, error: str | None = None) -> None:
-        record = json.dumps({"stage": stage, "state": state, "key": key, "error": error, "updated": datetime.now(UTC).isoformat()}, sort_keys=True)
-        self.spark.createDataFrame([(record,)], "value string").coalesce(1).write.mode("overwrite").text(self._path(stage, "state"))
+    def _files(self, path: str):
+        """The file system of a path and the path, as Spark's own Hadoop client sees them."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def exists(self, path: str) -> bool:
+        files, at = self._files(path)
+        return files.exists(at)
+
+    def delete(self, path: str) -> None:
+        files, at = self._files(path)
+        files.delete(at, True)
+
+    def mark(self, stage: str, state: str, key: str, error: str | None = None, metadata: dict[str, str] | None = None, reset: tuple[str, ...] = ()) -> None:
+        """Write a stage's record; metadata stays as it was unless given, artifacts named in reset go first."""
+        for what in reset:
+            self.delete(self._path(stage, what))
+        if metadata is None and state != "running":
+            metadata = (self.state(stage) or {}).get("metadata", {})
+        now = datetime.now(UTC).isoformat(timespec="seconds")
+        record = {"stage": stage, "state": state, "key": key, "error": error, "metadata": metadata or {}, "input": self.input, "updated": now}
+        text = json.dumps(record, sort_keys=True)
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(self._path(stage, "state"))
 
     def state(self, stage: str) -> dict | None:
+        path = self._path(stage, "state")
+        row = self.spark.read.text(path).first() if self.exists(path) else None
         try:
-            row = self.spark.read.text(self._path(stage, "state")).first()
-        except Exception as e:  # a stage that was never begun has no folder
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return json.loads(row[0]) if row else None
+            record = json.loads(row[0]) if row else None
+        except ValueError:
+            return None
+        return record if record and record.get("input") == self.input else None
 
-    def reusable(self, stage: str, key: str) -> bool:
+    def reusable(self, stage: str, key: str, what: str = "cues") -> bool:
         got = self.state(stage) if self.resume else None
-        return bool(got) and got["state"] == "completed" and got["key"] == key
+        return bool(got) and got["state"] == "completed" and got["key"] == key and self.exists(f"{self._path(stage, what)}/_SUCCESS")
 
-    def load_or_create(self, stage: str, key: str, create) -> DataFrame:
-        path = self._path(stage, "cues")
+    def load_or_create(self, stage: str, key: str, create, schema: str = CUES) -> DataFrame:
+        """The stage's artifact, made anew unless it can be reused."""
         if not self.reusable(stage, key):
-            self.mark(stage, "running", key)
-            try:
-                create().write.mode("overwrite").json(path)
-            except Exception as e:
-                self.mark(stage, "failed", key, str(e)[:500])
-                raise
-            self.mark(stage, "completed", key)
-        return self.spark.read.schema(CUES).json(path)
+            self.recompute(stage, key, create)
+        return self.spark.read.schema(schema).json(self._path(stage, "cues"))
+
+    def recompute(self, stage: str, key: str, create) -> None:
+        """Compute and write a stage whatever is there, as the merge of two timelines is."""
+        self.mark(stage, "running", key)
+        try:
+            create().write.mode("overwrite").json(self._path(stage, "cues"))
+        except Exception as e:
+            self.mark(stage, "failed", key, str(e)[:500])
+            raise
+        self.mark(stage, "completed", key)
+
+    def load(self, stage: str, schema: str = CUES) -> DataFrame | None:
+        """The stage's artifact, or None where there is none."""
+        path = self._path(stage, "cues")
+        return self.spark.read.schema(schema).json(path) if self.exists(path) else None
+
+    def append_frames(self, records: DataFrame, key: str, total: int) -> None:
+        """Append frame records and note how far their contiguous indices reach."""
+        path = self._path("frames", "records")
+        records.write.mode("append").json(path)
+        done = read_frames(self.spark, path).agg(F.coalesce(F.max("index") + 1, F.lit(0)).alias("n")).first()["n"]
+        self.mark("frames", "completed" if done >= total else "running", key, metadata={"frames": str(total), "completed": str(done)})
 
 
 def write_documents(lines: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cuemill.functions import distance
 from cuemill.functions import geometry as G
 from cuemill.functions import messages as M
 from cuemill.functions import text as T
@@ -24,14 +25,16 @@ def pairs(got):
 
 
 def test_items_and_entities(spark):
-    reply = '<item index="0">Hello &amp; welcome</item>\n<item index="2"> &lt;quiet&gt; </item><item index="0">Hello &amp;amp; x</item>'
-    assert pairs(one(spark, T.parse_response(F.lit(reply)))) == {0: "Hello &amp; x", 2: "<quiet>"}
-    assert pairs(one(spark, T.parse_response(F.lit('<item index="4"><![CDATA[a < b &amp; c]]></item>')))) == {4: "a < b &amp; c"}
+    reply = '<item index="3">salt &amp; pepper</item> and <item index="1">\n &gt;&gt; loud \n</item><item index="3">&quot;2 &amp;lt; 3&quot;</item>'
+    assert pairs(one(spark, T.parse_response(F.lit(reply)))) == {3: '"2 &lt; 3"', 1: ">> loud"}
+    assert pairs(one(spark, T.parse_response(F.lit('x <item  index="12"><![CDATA[ <b>&apos;</b> ]]></item>')))) == {12: "<b>&apos;</b>"}
 
 
 def test_numbered_lines_and_garbage(spark):
-    assert pairs(one(spark, T.parse_response(F.lit("```\n0: First line\n1 - Second line\n```")))) == {0: "First line", 1: "Second line"}
-    assert one(spark, T.parse_response(F.lit("nothing of use"))) is None
+    assert pairs(one(spark, T.parse_response(F.lit("```text\n  7 : seven\n8-eight\n8: acht\n```")))) == {7: "seven", 8: "acht"}
+    assert one(spark, T.parse_response(F.lit("no numbers here"))) is None
+    with pytest.raises(Exception, match="neither items nor"):
+        one(spark, T.parse_response_strictly(F.lit("no numbers here")))
 
 
 def test_messages(spark):
@@ -48,11 +51,37 @@ def words(spark, rows):
 
 
 def test_phrases(spark):
-    got = segment.phrases(words(spark, [(0, 300, "hello"), (320, 620, "world")])).collect()
-    assert [(r.plain_text, r.start_ms, r.end_ms) for r in got] == [("hello world", 0, 620)]
-    assert segment.phrases(words(spark, [(0, 300, "first"), (1000, 1300, "second")])).count() == 2
-    wrapped = segment.phrases(words(spark, [(i * 100, i * 100 + 80, "abcde") for i in range(4)]), PhraseLimits(most_chars=80, line_chars=12)).first()
-    assert wrapped.plain_text == "abcde abcde\nabcde abcde" and "\\N" in wrapped.raw_text
+    got = segment.phrases(words(spark, [(40, 200, "gone"), (260, 700, "fishing")])).collect()
+    assert [(r.plain_text, r.start_ms, r.end_ms) for r in got] == [("gone fishing", 40, 700)]
+    assert segment.phrases(words(spark, [(0, 90, "now"), (690, 800, "then")])).count() == 2
+    wrapped = segment.phrases(words(spark, [(i * 50, i * 50 + 40, "lorem") for i in range(6)]), PhraseLimits(most_chars=99, line_chars=18)).first()
+    assert wrapped.plain_text == "lorem lorem lorem\nlorem lorem lorem" and "\\N" in wrapped.raw_text
+    assert PhraseLimits.for_locale("ja-JP", pause_ms=5) == PhraseLimits(5, 7000, 36, 18, "") and PhraseLimits.for_locale("EN") == PhraseLimits()
+
+
+def plain_phrases(rows, limits):
+    """Phrases by a walk over one medium's words."""
+    out = []
+    for start, end, text in rows:
+        last = out[-1] if out else None
+        joined = None if last is None else limits.separator.join([*last[2], text])
+        if last and start - last[1] < limits.pause_ms and len(joined) <= limits.most_chars and end - last[0] <= limits.most_ms:
+            last[1] = end
+            last[2].append(text)
+        else:
+            out.append([start, end, [text]])
+    return [(a, b, len(t)) for a, b, t in out]
+
+
+def test_phrases_against_a_walk(spark):
+    rng = random.Random(11)
+    at, rows = 0, []
+    for _ in range(3000):
+        at += rng.randint(0, 700)
+        rows.append((at, at + rng.randint(1, 400), "x" * rng.randint(1, 12)))
+    limits = PhraseLimits(pause_ms=650, most_ms=3000, most_chars=40)
+    got = segment.phrases(words(spark, rows), limits).orderBy("phrase").collect()
+    assert [(r.start_ms, r.end_ms, r.n_words) for r in got] == plain_phrases(rows, limits)
 
 
 def test_wrapping(spark):
@@ -62,12 +91,12 @@ def test_wrapping(spark):
 
 
 def test_position_tags(spark):
-    x, y = F.lit(0.25), F.lit(0.75)
-    assert one(spark, G.override_prefix(x, y, 1280, 720)) == "{\\an4\\pos(320,180)}"
-    assert one(spark, G.override_prefix(F.lit(0.75), y, 1280, 720, rtl=True)) == "{\\an6\\pos(960,180)}"
-    assert [one(spark, G.font_size(F.lit(h), 720)) for h in (0.01, 0.20)] == [34, 64]
+    x, y = F.lit(0.1), F.lit(0.4)
+    assert one(spark, G.override_prefix(x, y, 1000, 500)) == "{\\an4\\pos(100,300)}"
+    assert one(spark, G.override_prefix(F.lit(1.4), y, 1000, 500, rtl=True)) == "{\\an6\\pos(1000,300)}"
+    assert [one(spark, G.font_size(F.lit(h), 1000)) for h in (0.001, 0.05, 0.5)] == [34, 43, 64]
     none = F.lit(None).cast("double")
-    assert [one(spark, G.near(*p)) for p in ((none, none, none, none), (none, none, x, y), (x, y, none, none))] == [True, False, False]
+    assert [one(spark, G.near(*p)) for p in ((none, none, none, none), (none, none, x, y), (x, y, none, none), (x, y, x + 0.03, y - 0.03))] == [True, False, False, True]
 
 
 def _cue(seq, start, end, y, style):
@@ -78,11 +107,11 @@ CUES = "media_id bigint, seq bigint, start_ms bigint, end_ms bigint, raw_text st
 
 
 def test_avoids_dialogue(spark):
-    rows = [_cue(1, 0, 500, 0.05, layout.OVERLAY), _cue(2, 0, 500, 0.07, layout.OVERLAY), _cue(3, 100, 900, None, layout.DIALOGUE)]
+    rows = [_cue(1, 10, 90, 0.02, layout.OVERLAY), _cue(2, 20, 80, 0.18, layout.OVERLAY), _cue(3, 50, 60, None, layout.DIALOGUE), _cue(4, 200, 300, 0.02, layout.OVERLAY)]
     cues = spark.createDataFrame(rows, CUES)
-    got = {r.seq: r.display_text for r in layout.place(cues, 1280, 720).collect()}
-    assert got == {1: "{\\an4\\pos(320,605)}sign", 2: "{\\an4\\pos(320,576)}sign", 3: "sign"}
-    assert {r.display_text for r in layout.place(cues, 1280, 720, positions=False).collect()} == {"sign"}
+    got = {r.seq: r.display_text for r in layout.place(cues, 400, 1000).collect()}
+    assert got == {1: "{\\an4\\pos(100,840)}sign", 2: "{\\an4\\pos(100,800)}sign", 3: "sign", 4: "{\\an4\\pos(100,980)}sign"}
+    assert {r.display_text for r in layout.place(cues, 400, 1000, positions=False).collect()} == {"sign"}
 
 
 def test_profiles():
@@ -125,7 +154,7 @@ def brute_tracks(rows, below=0.2):
         taken = set()
         for _, text, x, y in sorted((r for r in rows if r[0] == f), key=lambda r: (-r[3], r[2])):
             near = [(((t["x"] - x) ** 2 + (t["y"] - y) ** 2) ** 0.5, k) for k, t in enumerate(tracks) if t["end"] == f and k not in taken]
-            near = [(d, k) for d, k in near if d <= 0.05 and frames._ratio(tracks[k]["text"], text) < below]
+            near = [(d, k) for d, k in near if d <= 0.05 and distance.ratio(tracks[k]["text"], text) < below]
             if near:
                 k = min(near)[1]
                 tracks[k]["end"] = f + 1
@@ -187,6 +216,13 @@ def test_word_cues(spark):
     assert sorted((r.text, r.start_ms, r.end_ms) for r in word_cues(rows).collect()) == [("a", 500, 750), ("c", 0, 1000)]
 
 
+def test_word_cues_of_blank_runs(spark):
+    schema = "media_id bigint, result bigint, text string, runs array<struct<text:string,start_s:double,duration_s:double>>"
+    rows = spark.createDataFrame([(1, 0, " whole ", [("  ", 1.0, 0.5)]), (1, 1, "x", [("\ta\t", 1.0, 0.5), ("b", None, None)]), (1, 2, " ", [])], schema)
+    got = sorted((r.result, r.text, r.start_ms, r.end_ms) for r in word_cues(rows).collect())
+    assert got == [(0, "whole", 0, 1000), (1, "a", 1000, 1500)]
+
+
 def test_retry_halves():
     calls = []
 
