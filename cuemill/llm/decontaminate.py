@@ -413,7 +413,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
 
     Null text holds nothing and stays; repeated rows stay or go together; a row with a null id is judged by its
     text; an empty table gives an empty table."""
-    bad = find_leaks(docs, benchmark, **settings).select("doc_id", "text_hash").distinct()
+    # staged, so that its size is known and Spark broadcasts it only below its own bound
+    bad = staged(find_leaks(docs, benchmark, **settings).select("doc_id", "text_hash").distinct(), "leaked")
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     keyed = docs.select(docs["doc_id"].cast("bigint").alias("k_id"), F.xxhash64(text_of(docs)).alias("k_hash"), row)
     return keyed.join(bad, keyed.k_id.eqNullSafe(bad.doc_id) & (keyed.k_hash == bad.text_hash), "left_anti").select("row.*")

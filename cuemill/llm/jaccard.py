@@ -34,6 +34,7 @@ BLOCK_SHINGLES = 2_000_000
 LEVEL_BITS = 128
 BUFFER = 4_000_000
 FRAGMENT_TOKENS = 1024
+FEW_SETS = 32
 
 
 def shingle_sets(column: pa.Array, width: int):
@@ -243,6 +244,21 @@ def overlaps(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
     row = row[shared]
     down, across = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
     total = np.zeros((len(down), len(across)), np.float32)
+    # tokens of few sets are counted pair by pair, the others by products of fragments
+    often = np.bincount(column)[column] > FEW_SETS if len(column) else np.zeros(0, bool)
+    at_down, at_across = np.full(len(sets), -1), np.full(len(sets), -1)
+    at_down[down], at_across[across] = np.arange(len(down)), np.arange(len(across))
+    few_row, few_column = row[~often], column[~often]
+    for step in range(1, FEW_SETS):
+        same = np.flatnonzero(few_column[step:] == few_column[:-step])
+        if not len(same):
+            break
+        for x, y in ((few_row[same], few_row[same + step]), (few_row[same + step], few_row[same])):
+            ok = (at_down[x] >= 0) & (at_across[y] >= 0)
+            np.add.at(total, (at_down[x[ok]], at_across[y[ok]]), 1)
+    row, column = row[often], column[often]
+    if len(column):
+        column = np.cumsum(np.diff(column, prepend=column[0]) > 0)
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, FRAGMENT_TOKENS):
         a, b = np.searchsorted(column, (start, start + FRAGMENT_TOKENS))
         part = np.zeros((len(sets), FRAGMENT_TOKENS), np.float32)

@@ -98,6 +98,18 @@ def test_repeated_representatives_and_small_blocks(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_links) for r in got) == want
 
 
+def test_overlaps_against_intersections():
+    r = np.random.Generator(np.random.PCG64(9))
+    for n, pool in ((60, 40), (90, 4000), (5, 10)):
+        sets = [np.unique(r.integers(0, pool, r.integers(1, 60)).astype(np.uint64)) for _ in range(n)]
+        for side in (np.zeros(n, int), r.integers(1, 3, n)):
+            down, across = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+            got = jaccard.overlaps(sets, side)
+            for i, a in enumerate(down):
+                for j, b in enumerate(across):
+                    assert a == b or got[i, j] == len(np.intersect1d(sets[a], sets[b]))
+
+
 def test_columns_of_any_name_stay(spark):
     bench = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")
     rows = [(1, BASE, "a", 1, 2, 3, 4), (2, BASE, "b", 1, 2, 3, 4), (3, PASSAGE, "c", 1, 2, 3, 4), (4, "mail a@b.example now", "d", 1, 2, 3, 4), (None, None, "e", 1, 2, 3, 4)]
