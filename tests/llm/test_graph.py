@@ -31,6 +31,8 @@ CASES = {
     "chain": [(i, i + 1) for i in range(40)],
     "hub": [(0, i) for i in range(1, 30)] + [(29, 50), (50, -4)],
     "random": [(R.randrange(-60, 60), R.randrange(-60, 60)) for _ in range(55)],
+    "hub among many": [(0, i) for i in range(1, 400)] + [(k, k + 1) for k in range(1000, 4000, 3)] + [(399, 1000), (4001, 7)],
+    "great hub": [(9000, i) for i in range(400)] + [(R.randrange(400, 8000), R.randrange(400, 8000)) for _ in range(1500)],
 }
 
 
