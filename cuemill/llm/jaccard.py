@@ -6,7 +6,11 @@ one fragment of theirs is equal; equal fragments yield the candidates.  d depend
 hence sets are put into size levels (a set also joins the level below when a partner may be there).
 An empty fragment says nothing, so there are some fragments more, for as many empty ones; a set with
 still more empty ones is cut again by other orders, and in the end by a prefix filter, so no link is
-lost.  Groups of candidates are kept apart by level, so their sets are of
+lost.  Sets that have an equal fragment are tied only if their sketches allow a link: a sketch holds the parity of
+the number of elements at each of its bits, so two sketches differ in at most as many bits as the sets differ in
+elements.  Else chance fragments of one shingle would join unlike sets into groups that outgrow the corpus.
+
+Groups of candidates are kept apart by level, so their sets are of
 about one size.  A group is cut into blocks of up to ``BLOCK_SETS`` sets; each pair of blocks is a task's work, in which
 the overlaps are counted fragment by fragment and summed per pair.  Only the number of links and a spanning
 forest leave the task, never the pairs.  Counting links takes all pairs of a group, so a group of g
@@ -35,6 +39,11 @@ LEVEL_BITS = 128
 BUFFER = 4_000_000
 FRAGMENT_TOKENS = 1024
 FEW_SETS = 32
+#: Signatures of up to this many classes, by level from the first to the second number, are taken pair by pair.
+PAIRED = (4, 64)
+#: Signatures of more classes are tied without a look at sketches.
+GROUP_SETS = 1 << 16
+SKETCH_BYTES = 1 << 24
 
 
 def shingle_sets(column: pa.Array, width: int):
@@ -79,6 +88,9 @@ class Levels:
             empty = m * np.exp(-self.starts[:-1] / m)
             spare = np.ceil(empty + 2 * np.sqrt(empty)).astype(np.int64)
         self.spare, self.fragments = spare, differ + 1 + spare
+        # words of a sketch: unlike sets differ in about half of its bits, which is to be more than differ
+        self.words = 1 << np.ceil(np.log2(np.maximum(1, (2.25 * differ + 48) / 64))).astype(np.int64)
+        self.paired = np.clip(self.fragments // 8, *PAIRED)
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, n, "right") - 1
@@ -139,12 +151,38 @@ def _digests(h, bounds):
     return mix(one + n).view(np.int64), two.view(np.int64)
 
 
-def _scan(width: int):
+def sketches(h, bounds, levels: Levels):
+    """(words, bounds): the sketch of set i, of as many words as its own level has, is words[bounds[i]:bounds[i+1]].
+
+    A bit is set if an odd number of elements falls on it."""
+    n = np.diff(bounds)
+    size = np.where(n < levels.least, 0, levels.words[np.clip(levels.of(n), 0, len(levels.words) - 1)])
+    at = np.concatenate(([0], np.cumsum(size)))
+    bits = np.repeat(size * 64, n)
+    has = bits > 0
+    spot = mix(h[has] ^ U(0x94D049BB133111EB)) & (bits[has] - 1).astype(U)
+    odd = np.bincount(spot.astype(np.int64) + np.repeat(at[:-1] * 64, n)[has], minlength=at[-1] * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U), at
+
+
+def _folded(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Sketches as rows of size words; longer ones are folded, which keeps the parities."""
+    out, n = np.zeros((len(at) - 1, size), U), np.diff(at)
+    for k in np.unique(n).tolist():
+        rows = np.flatnonzero(n == k)
+        out[rows] = np.bitwise_xor.reduce(words[at[rows][:, None] + np.arange(k)].reshape(len(rows), k // size, size), axis=1)
+    return out
+
+
+def _scan(width: int, percent: int):
     def run(batches):
+        levels = Levels(percent)
         for b in batches:
             for lo, hi, h, bounds in shingle_sets(b.column(2), width):
                 one, two = _digests(h, bounds)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds), pa.int64()), pa.array(one), pa.array(two)], ["doc_id", "text_hash", "n", "c", "c2"])
+                words, at = sketches(h, bounds, levels)
+                sketch = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(words)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(bounds), pa.int64()), pa.array(one), pa.array(two), sketch], ["doc_id", "text_hash", "n", "c", "c2", "sketch"])
 
     return run
 
@@ -195,26 +233,150 @@ def _ties(pair: np.ndarray):
     return np.stack([sig[start], c[start].view(U)], 1), edges
 
 
-def _tie_all(batches):
-    """Rows sorted by bucket to edges; a full buffer is brought down to one pair a signature."""
-    now, held, size = None, [], 0
+def _members(pair: np.ndarray, paired: int):
+    """(group, class) of the signatures of several classes, by pairs where there are up to paired, each group once;
+    and edges from the smallest class to the others for signatures of more than GROUP_SETS."""
+    pair = np.unique(np.ascontiguousarray(pair).view("u8,u8").ravel())
+    sig, c = pair["f0"], pair["f1"].view(np.int64)
+    at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    size = np.diff(np.append(at, len(sig)))
+    by_pair = np.repeat((size > 1) & (size <= paired), size)
+    few_sig, few = sig[by_pair], c[by_pair]
+    ends = []
+    for step in range(1, paired):
+        same = np.flatnonzero(few_sig[step:] == few_sig[:-step])
+        if not len(same):
+            break
+        ends.append(np.sort(np.stack([few[same], few[same + step]], 1), axis=1))
+    ends = np.unique(np.concatenate(ends), axis=0) if ends else np.zeros((0, 2), np.int64)
+    of_pair = mix(mix(ends[:, 0].view(U) if len(ends) else np.zeros(0, U)) + U(3) * mix(np.ascontiguousarray(ends[:, 1]).view(U)))
+    inside = np.add.reduceat(mix(c.view(U)), at)
+    many = np.flatnonzero((size > paired) & (size <= GROUP_SETS))
+    many = many[np.unique(inside[many], return_index=True)[1]]
+    rows = np.repeat(at[many] - np.concatenate(([0], np.cumsum(size[many])[:-1])), size[many]) + np.arange(size[many].sum())
+    group = np.concatenate([np.repeat(of_pair, 2), np.repeat(mix(inside[many]), size[many])]).view(np.int64)
+    huge = np.repeat(size > GROUP_SETS, size)
+    return group, np.concatenate([ends.ravel(), c[rows]]), _ties(np.stack([sig[huge], c[huge].view(U)], 1))[1]
+
 
-    def settle():
-        pair, edges = _ties(np.concatenate(held))
-        level = np.full(len(edges), now % LEVEL_BITS, np.int32)
-        return pair, pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(edges[:, k])) for k in (0, 1)], pa.array(level)], ["u", "v", "level"])
+def _tie_all(percent: int):
+    """Rows sorted by bucket to members (v null) and edges; of a bucket beyond the buffer, one pair a signature is kept, and edges."""
 
-    for b in batches:
-        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if held and (bucket != now or size > BUFFER):
-                pair, edges = settle()
-                yield edges
-                held, size = ([pair], 0) if bucket == now else ([], 0)
-            now = bucket
-            held.append(np.frombuffer(blob.as_buffer(), U).reshape(-1, 2))
-            size += len(held[-1])
-    if held:
-        yield settle()[1]
+    def batch(now, group, u, v):
+        level = np.full(len(u), now % LEVEL_BITS, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(group, pa.int64()) if group is not None else pa.nulls(len(u), pa.int64()), pa.array(level), pa.array(np.ascontiguousarray(u)), pa.array(np.ascontiguousarray(v)) if v is not None else pa.nulls(len(u), pa.int64())], ["g", "level", "u", "v"])
+
+    def run(batches):
+        levels = Levels(percent)
+        now, held, size, over = None, [], 0, False
+
+        def end():
+            if over:
+                edges = _ties(np.concatenate(held))[1]
+            else:
+                group, member, edges = _members(np.concatenate(held), int(levels.paired[min(now % LEVEL_BITS, len(levels.paired) - 1)]))
+                yield batch(now, group, member, None)
+            yield batch(now, None, edges[:, 0], edges[:, 1])
+
+        for b in batches:
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if held and bucket != now:
+                    yield from end()
+                    held, size, over = [], 0, False
+                elif held and size > BUFFER:
+                    pair, edges = _ties(np.concatenate(held))
+                    yield batch(now, None, edges[:, 0], edges[:, 1])
+                    held, size, over = [pair], 0, True
+                now = bucket
+                held.append(np.frombuffer(blob.as_buffer(), U).reshape(-1, 2))
+                size += len(held[-1])
+        if held:
+            yield from end()
+
+    return run
+
+
+def _alike(level: int, levels: Levels, n: np.ndarray, sketch: np.ndarray):
+    """Test of rows i and j: whether, by sketches and sizes, they may link at the level."""
+    own = levels.of(n) == level  # a pair counts at the level of its smaller set
+
+    def test(i, j):
+        differ = np.maximum(np.bitwise_count(sketch[i] ^ sketch[j]).sum(-1, dtype=np.int64), np.abs(n[i] - n[j]))
+        return (own[i] | own[j]) & (differ * (100 + levels.percent) <= (n[i] + n[j]) * (100 - levels.percent))
+
+    return test
+
+
+def _closest(test, rows: np.ndarray):
+    """Edges from rows to the first row of what they reach by pairs that pass the test."""
+    rest, u, v = rows, [], []
+    while len(rest):
+        root, front, rest = rest[0], [rest[0]], rest[1:]
+        while len(front) and len(rest):
+            met = []
+            for i in front:
+                hit = test(i, rest)
+                if hit.any():
+                    met.extend(rest[hit].tolist())
+                    rest = rest[~hit]
+            u.extend(met)
+            v.extend([root] * len(met))
+            front = met
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def _refine(percent: int):
+    """Rows (level, g, c, n, sketch) sorted by level and g to edges between classes that may link and share a group."""
+
+    def settle(levels, level, g, c, n, words, at):
+        size = np.diff(at)
+        for one in np.unique(level).tolist():
+            rows = np.flatnonzero(level == one)
+            first = np.concatenate(([True], (g[rows][1:] != g[rows][:-1]) | (c[rows][1:] != c[rows][:-1])))
+            rows = rows[first]
+            k = int(levels.words[min(one, len(levels.words) - 1)])
+            to = np.concatenate(([0], np.cumsum(size[rows])))
+            taken = words[np.repeat(at[rows] - to[:-1], size[rows]) + np.arange(to[-1])]
+            test = _alike(one, levels, n[rows], _folded(taken, to, k))
+            group, cls = g[rows], c[rows]
+            start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            many = np.diff(np.append(start, len(group)))
+            pairs = start[many == 2]
+            pairs = pairs[test(pairs, pairs + 1)]
+            u, v = [pairs], [pairs + 1]
+            for i in np.flatnonzero(many > 2).tolist():
+                x, y = _closest(test, np.arange(start[i], start[i] + many[i]))
+                u.append(x)
+                v.append(y)
+            edges = np.unique(np.stack([cls[np.concatenate(u)], cls[np.concatenate(v)]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, 0])), pa.array(np.ascontiguousarray(edges[:, 1])), pa.array(np.full(len(edges), one, np.int32))], ["u", "v", "level"])
+
+    def run(batches):
+        levels, held, size = Levels(percent), [], 0
+
+        def parts(last):
+            nonlocal held, size
+            table = pa.Table.from_batches(held).combine_chunks()
+            level, g, c, n = (table.column(k).to_numpy() for k in range(4))
+            whole = len(g) if last else int(np.flatnonzero((level != level[-1]) | (g != g[-1]))[-1:].sum() + 1) * bool((level != level[-1]).any() or (g != g[-1]).any())
+            held, size = ([] if last else table.slice(whole).to_batches()), 0
+            if whole:
+                blob = table.column(4).slice(0, whole).combine_chunks()
+                blob = blob.chunk(0) if isinstance(blob, pa.ChunkedArray) else blob
+                offsets = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + whole + 1].astype(np.int64)
+                words = np.frombuffer(blob.buffers()[2], U, count=(offsets[-1]) // 8) if offsets[-1] else np.zeros(0, U)
+                yield from settle(levels, level[:whole], g[:whole], c[:whole], n[:whole], words, offsets // 8)
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+            if size > SKETCH_BYTES:
+                yield from parts(False)
+        if held:
+            yield from parts(True)
+
+    return run
 
 
 def _sets(width: int):
@@ -349,13 +511,18 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
         raise ValueError("percent must be from 50 to 99")
     text = text_of(docs, text_col)
     base = docs.select(docs[id_col].cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    scanned = staged(base.mapInArrow(_scan(width), "doc_id bigint, text_hash bigint, n bigint, c bigint, c2 bigint"), "jaccard-scan")
+    scanned = staged(base.mapInArrow(_scan(width, percent), "doc_id bigint, text_hash bigint, n bigint, c bigint, c2 bigint, sketch binary"), "jaccard-scan")
     least = Levels(percent).least
-    classes = scanned.where(F.col("n") >= least).groupBy("c", "c2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep"), F.count("*").alias("w"), F.first("n").alias("n"))
-    # candidates: a fragment found in several classes ties them to the smallest of them, at one size level
-    buckets = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    found = scanned.where(F.col("n") >= least).groupBy("c", "c2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep"), F.count("*").alias("w"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = staged(found, "jaccard-classes")
+    # candidates: classes with an equal fragment, at one size level, whose sketches allow a link
+    shingles = scanned.agg(F.sum("n")).first()[0] or 0
+    buckets = max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4, shingles // (2 * BUFFER))
     blobs = base.select("text").mapInArrow(_fragments(width, percent, buckets), "bucket int, pairs binary")
-    tied = staged(blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tie_all, "u bigint, v bigint, level int").distinct(), "jaccard-ties")
+    met = staged(blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_tie_all(percent), "g bigint, level int, u bigint, v bigint").distinct(), "jaccard-members")
+    drawn = met.where("v is null").select("level", "g", F.col("u").alias("c")).join(classes.select("c", "n", "sketch"), "c").select("level", "g", "c", "n", "sketch")
+    near = drawn.repartition("level", "g").sortWithinPartitions("level", "g", "c").mapInArrow(_refine(percent), "u bigint, v bigint, level int")
+    tied = staged(near.unionAll(met.where("v is not null").select("u", "v", "level")).distinct(), "jaccard-ties")
     node = lambda c: F.xxhash64(c, "level")
     ends = tied.select(F.col("u").alias("c"), "level").unionAll(tied.select(F.col("v").alias("c"), "level")).distinct().withColumn("id", node("c"))
     found = components(tied.select(node("u").alias("u"), node("v").alias("v")), "jaccard-candidates").withColumnRenamed("root", "comp")
