@@ -530,7 +530,8 @@ def _classes(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     groups = staged(groups.select("c", "level", "comp", "w", "n", F.col("rep.doc_id").alias("r_id"), F.col("rep.text_hash").alias("r_hash")), "jaccard-groups")
     sized = groups.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     wanted = join_split(groups, sized, "comp").select("c", "w", "comp", "level", "nb", "r_id", "r_hash")
-    texts = base.join(wanted, base.doc_id.eqNullSafe(wanted.r_id) & (base.text_hash == wanted.r_hash)).select("c", "w", "comp", "level", "nb", "text")
+    # by a merge at any size: whether wanted is small enough for a broadcast hangs on how much of the corpus is alike
+    texts = base.join(wanted.hint("merge"), base.doc_id.eqNullSafe(wanted.r_id) & (base.text_hash == wanted.r_hash)).select("c", "w", "comp", "level", "nb", "text")
     one = texts.mapInArrow(_sets(width), "c bigint, w bigint, comp bigint, level int, nb int, s array<bigint>")
     # side: 0 in a block paired with itself, else 1 or 2 by which of the two blocks holds the row
     block = F.pmod(F.xxhash64("c"), F.col("nb")).cast("int")
